@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from starloom.llm import quality_rules, sharding, simhash
+from starloom.llm import packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
+    "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
