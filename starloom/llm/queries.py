@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from starloom.llm import decontaminate, packing, quality_rules, sharding, simhash
+from starloom.llm import decontaminate, line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 
