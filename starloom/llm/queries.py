@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starloom.llm import decontaminate, line_dedup, packing, quality_rules, sharding, simhash
+from starloom.llm import decontaminate, license_scan, line_dedup, packing, quality_rules, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLE_SQL = {
