@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from starloom.llm import decontaminate, license_scan, line_dedup, packing, quality_gam, quality_rules, sharding, simhash
+from starloom.llm import decontaminate, hmm_lm, license_scan, line_dedup, packing, quality_gam, quality_rules, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_gam": quality_gam.op4_quality_gam,
+    "op5_hmm_lm": hmm_lm.op5_hmm_lm,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
