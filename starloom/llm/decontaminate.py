@@ -158,14 +158,16 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows whose text holds an item; all columns stay as they are."""
     for block in item_blocks(items, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), error_rate)(F.col(text_col)))
+    return docs
 
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            index = _index(shared.value, error_rate)
-            return pd.Series([not index.find(t) for t in texts], dtype=bool)
 
-        docs = docs.where(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR)(F.col(text_col)))
-    return docs
+def _clean(shared, error_rate: float):
+    def clean(texts: pd.Series) -> pd.Series:
+        index = _index(shared.value, error_rate)
+        return pd.Series([not index.find(t) for t in texts], dtype=bool)
+
+    return F.pandas_udf(clean, "boolean")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

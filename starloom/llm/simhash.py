@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import discard, materialise, table, without
+from starloom.llm.common import materialise, table
 from starloom.llm.components import connected_components
 
 SEED = 42
@@ -101,14 +101,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, and of repeated ids the one with the smallest text."""
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    # one row of an id that has several: the first by text hash
-    chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).distinct()
-    tagged = docs.withColumn("__fp", fingerprint_udf(options.get("words_per_shingle", 4))(F.col(text_col)))
-    kept = tagged.join(chosen, tagged[id_col].eqNullSafe(chosen["__id"]) & (tagged["__fp"] == chosen["__fp"]), "left_semi")
-    return kept.drop("__fp")
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, and of equal ids the first as docs is written here. Null ids give way to others."""
+    rows = materialise(docs.withColumns({"__fp": fingerprint_udf(words_per_shingle)(F.col(text_col)), "__row": F.monotonically_increasing_id()}), "fingerprinted")
+    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    least = materialise(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("place")), "distinct-fingerprints")
+    comps = connected_components(near_links(least.select("fp"), radius, segments))
+    members = least.join(comps, least["fp"] == comps["node"], "left").select("place", F.coalesce("component", "fp").alias("component"))
+    keepers = members.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("__row"))
+    return rows.join(keepers, "__row", "left_semi").select(docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
