@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from starloom.llm import decontaminate, hmm_lm, license_scan, line_dedup, packing, quality_gam, quality_rules, sharding, simhash
+from starloom.llm import decontaminate, hmm_lm, license_scan, line_dedup, packing, quality_gam, quality_rules, quote_links, sharding, simhash
 
 QUERIES = {
+    "op1_quote_links": quote_links.op1_quote_links,
     "op2_sharding": sharding.op2_sharding,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality_gam": quality_gam.op4_quality_gam,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_quote_links": quote_links.OP1_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }
