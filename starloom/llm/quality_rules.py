@@ -90,7 +90,8 @@ def _assess(text):
         return pd.DataFrame.from_records([assess(t) for t in texts], columns=_names())
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(of, SCHEMA)(text)
+    # not deterministic, so that a filter on a result doesn't run it a second time
+    return F.pandas_udf(of, SCHEMA).asNondeterministic()(text)
 
 
 def assess_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
