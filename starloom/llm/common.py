@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +35,16 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._shared_path = path
+    return found
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files under a materialised table that is no longer needed."""
+    """Delete the files of a table that materialise() wrote and nothing reads any more."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark).replace("file://", "file:").replace("file:/", "file:///", 1)) or "/starloom-" in folder or shared_dir(spark).split("://")[-1] in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -63,7 +60,3 @@ def unsigned_crc32(column) -> Column:
 def id_remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n; ids that are null count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -77,13 +77,13 @@ def reply_depths(parents: DataFrame) -> DataFrame:
     state = materialise(parents.select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "replies")
     while True:
         up = state.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"))
-        joined = state.join(up, ["conv_id", "root_turn"], "left")
+        joined = state.select("conv_id", "turn", "root_turn", "depth").join(up, ["conv_id", "root_turn"], "left")
         moved = materialise(joined.select("conv_id", "turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("above").isNotNull().alias("moved")), "replies")
         again = not moved.where("moved").isEmpty()
         discard(state)
-        state = moved.drop("moved")
         if not again:
-            return state
+            return moved.drop("moved")
+        state = moved
 
 
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
