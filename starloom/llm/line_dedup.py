@@ -39,11 +39,11 @@ def digest(form: str) -> int:
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """Signed 64-bit SimHashes of normal forms over their words, repeats included; a bit is set if more words have it than lack it."""
+    """Signed 64-bit SimHashes of normal forms over their distinct words; a bit is set if more words have it than lack it. Repeats don't count: else the few commonest words of a language would settle the bits of every long line."""
     if not lines:
         return np.empty(0, np.int64)
     numbers: dict[str, int] = {}
-    split = [line.split(" ") for line in lines]
+    split = [set(line.split(" ")) for line in lines]
     codes = np.fromiter((numbers.setdefault(w, len(numbers)) for words in split for w in words), np.int64)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), "<u8", len(numbers))
     signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
@@ -59,39 +59,43 @@ def simhashes(lines: list[str]) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def _signed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """docs with arrays of line numbers, form digests and SimHashes."""
+def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, written once, with __row (a number) and __lines: arrays of line numbers, form digests and SimHashes."""
 
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
-            own = forms(text, min_words)
-            rows.append(([i for i, _ in own], [digest(f) for _, f in own], simhashes([f for _, f in own]).tolist()))
+        for at in range(0, len(texts), 256):
+            own = [forms(text, min_words) for text in texts.iloc[at : at + 256]]
+            sims = iter(simhashes([f for found in own for _, f in found]).tolist())
+            rows += [([i for i, _ in found], [digest(f) for _, f in found], [next(sims) for _ in found]) for found in own]
         return pd.DataFrame(rows, columns=["line", "form", "sim"])
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.withColumn("__lines", F.pandas_udf(of, "line array<int>, form array<long>, sim array<long>")(F.col(text_col)))
+    lines = F.pandas_udf(of, "line array<int>, form array<long>, sim array<long>")(F.col(text_col))
+    return materialise(docs.withColumns({"__lines": lines, "__row": F.monotonically_increasing_id()}), "signed-lines")
 
 
-def _asked_forms(docs: DataFrame, text_col: str, asked: DataFrame, min_words: int) -> DataFrame:
-    """Rows (form, words) of the asked forms, one each: texts are read again, a sieve of bounded size keeps most others out, a join the rest."""
+def _asked_forms(signed: DataFrame, text_col: str, asked: DataFrame) -> DataFrame:
+    """Rows (form, words) of the asked forms, one each. A sieve of bounded size keeps most other lines from being read again, a join keeps out the rest."""
     bits = np.zeros(SIEVE, bool)
     bits[[r.place for r in asked.select(F.pmod("form", F.lit(SIEVE)).alias("place")).distinct().toLocalIterator()]] = True
-    sieve = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    sieve = signed.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
 
     def pick(batches):
         inside = np.unpackbits(np.frombuffer(sieve.value, np.uint8)).astype(bool)
         for batch in batches:
             for at in range(0, len(batch), 512):
-                found = {}
-                for text in batch.slice(at, 512).column(0).to_pylist():
-                    for _, form in forms(text, min_words):
-                        number = digest(form)
-                        if inside[number % SIEVE]:
-                            found[number] = form
+                part, found = batch.slice(at, 512), {}
+                for text, lines, numbers in zip(part.column(0), part.column(1), part.column(2)):
+                    numbers = numbers.values.to_numpy()
+                    hits = np.flatnonzero(inside[numbers % SIEVE])
+                    if len(hits):
+                        split, lines = text.as_py().split("\n"), lines.values
+                        found.update((int(numbers[i]), normalise(split[lines[i].as_py()])) for i in hits.tolist() if int(numbers[i]) not in found)
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], names=["form", "words"])
 
-    picked = docs.select(text_col).mapInArrow(pick, "form long, words string")
+    filled = signed.where(F.size("__lines.form") > 0).select(text_col, "__lines.line", "__lines.form")
+    picked = filled.mapInArrow(pick, "form long, words string")
     return picked.join(asked, "form", "left_semi").groupBy("form").agg(F.first("words").alias("words"))
 
 
@@ -110,13 +114,13 @@ def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(verify, "boolean")("wa", "wb")).select("a", "b")
 
 
-def _near_forms(docs: DataFrame, text_col: str, lines: DataFrame, min_words: int, bits: int, blocks: int, similarity: float) -> DataFrame:
+def _near_forms(signed: DataFrame, text_col: str, lines: DataFrame, bits: int, blocks: int, similarity: float) -> DataFrame:
     """Rows (form, group) of the forms that are linked to others. lines: form, sim.
 
     bits edits touch at most that many of the blocks, so two near SimHashes agree in some choice of blocks - bits of them; each
-    choice is a key. Only keys with two forms or more go on. Forms are first linked to the smallest and largest form under
-    their keys; of the other pairs, only those whose ends are not yet in one group are left, so a large group of near copies
-    doesn't become all its pairs.
+    choice is a key. Only keys with two forms or more go on, and of their forms those with a near one. These are first linked
+    to the smallest and largest form under their keys; of the other pairs, only those whose ends are not yet in one group are
+    left, so a large group of near copies doesn't become all its pairs.
     """
     edges = [64 * i // blocks for i in range(blocks + 1)]
     pieces = [F.shiftrightunsigned("sim", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
@@ -131,6 +135,12 @@ def _near_forms(docs: DataFrame, text_col: str, lines: DataFrame, min_words: int
     keyed = materialise(keyed.join(crowded, "key"), "crowded-keys")
 
     near = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= bits
+    other = keyed.select("key", F.col("form").alias("b"), F.col("sim").alias("sim_b"))
+    first = keyed.withColumnsRenamed({"sim": "sim_a"})
+    neighbours = first.join(other, (first["key"] == other["key"]) & (F.col("form") != F.col("b")) & near, "left_semi").select("form").distinct()
+    neighbours = materialise(neighbours, "neighbours")
+    keyed = materialise(keyed.join(neighbours, "form", "left_semi"), "near-keys")
+    words = materialise(_asked_forms(signed, text_col, neighbours), "forms")
     low, high = F.struct("form", "sim"), F.max(F.struct("form", "sim"))
     ends = keyed.groupBy("key").agg(F.min(low).alias("low"), high.alias("high"))
     ends = ends.select("key", F.explode(F.array("low", "high")).alias("end")).select("key", F.col("end.form").alias("b"), F.col("end.sim").alias("sim_b"))
@@ -138,10 +148,6 @@ def _near_forms(docs: DataFrame, text_col: str, lines: DataFrame, min_words: int
     stars = own.join(ends, "key").where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = materialise(stars, "star-pairs")
 
-    def ends_of(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("form")).unionByName(pairs.select(F.col("b").alias("form"))).distinct()
-
-    words = materialise(_asked_forms(docs, text_col, ends_of(stars), min_words), "forms")
     links = materialise(_similar(stars, words, similarity), "links")
     groups = connected_components(links)
     grouped = keyed.join(groups, keyed["form"] == groups["node"], "left").select("key", "form", "sim", F.coalesce("component", "form").alias("group"))
@@ -151,44 +157,43 @@ def _near_forms(docs: DataFrame, text_col: str, lines: DataFrame, min_words: int
     apart = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near
     rest = materialise(left.join(right, apart).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
-        more = materialise(_asked_forms(docs, text_col, ends_of(rest), min_words), "forms")
-        groups = connected_components(links.unionByName(_similar(rest, more, similarity)))
+        groups = connected_components(links.unionByName(_similar(rest, words, similarity)))
     return groups.select(F.col("node").alias("form"), F.col("component").alias("group"))
 
 
-def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each line with at least min_words words: id, row (a number of docs' row), line (from 0), group, kept.
-
-    docs must give the same rows in the same order each time it is read, as a table does. Lines with fewer words, null and
-    empty texts have no rows here and are left alone. Repeated rows are further occurrences; null ids sort first. Forms are
-    known by 64-bit numbers. Only the two named columns are read. An empty table gives no rows.
-    """
-    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = _signed_lines(numbered, "id", "text", min_words).withColumn("row", F.monotonically_increasing_id()).select("id", "row", "__lines")
-    signed = materialise(signed, "signed-lines")
-    lines = signed.select("id", "row", F.explode(F.arrays_zip("__lines.line", "__lines.form", "__lines.sim")).alias("l")).select("id", "row", F.col("l.line").alias("line"), F.col("l.form").alias("form"), F.col("l.sim").alias("sim"))
+def _judged(signed: DataFrame, id_col: str, text_col: str, bits: int, blocks: int, similarity: float) -> DataFrame:
+    lines = signed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.explode(F.arrays_zip("__lines.line", "__lines.form", "__lines.sim")).alias("l"))
+    lines = lines.select("id", "row", F.col("l.line").alias("line"), F.col("l.form").alias("form"), F.col("l.sim").alias("sim"))
     place = F.struct("id", "row", "line")
     distinct = materialise(lines.groupBy("form").agg(F.first("sim").alias("sim"), F.min(place).alias("place")), "distinct-lines")
-    near = materialise(_near_forms(docs, text_col, distinct.select("form", "sim"), min_words, bits, blocks, similarity), "near-forms")
+    near = materialise(_near_forms(signed, text_col, distinct.select("form", "sim"), bits, blocks, similarity), "near-forms")
     grouped = distinct.join(near, "form", "left").select("form", "place", F.coalesce("group", "form").alias("group"))
     first = grouped.groupBy("group").agg(F.min("place").alias("keeper"))
     named = grouped.join(first, "group").select("form", "group", "keeper")
-    return lines.join(named, "form").select(F.col("id").alias(id_col), "row", "line", "group", place.eqNullSafe(F.col("keeper")).alias("kept"))
+    return lines.join(named, "form").select("id", "row", "line", "group", place.eqNullSafe(F.col("keeper")).alias("kept"))
+
+
+def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """A row for each line with at least min_words words: id, row (a number of docs' row), line (from 0), group, kept.
+
+    Lines with fewer words, null and empty texts have no rows here and are left alone. Repeated rows are further occurrences;
+    null ids sort first. Forms are known by 64-bit numbers. Only the two named columns are read. An empty table gives no rows.
+    """
+    signed = signed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", min_words)
+    return _judged(signed, "id", "text", bits, blocks, similarity).withColumnRenamed("id", id_col)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the lines that are not kept taken out of the text; documents left without a word go. Columns are those of docs, n_chars follows the text."""
-    docs = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-docs")
-    rest = docs.drop("__row")
-    verdicts = judge_lines(docs.select(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("key"), F.col(text_col).alias("text")), "key", "text", **options)
-    gone = verdicts.where("not kept").groupBy(F.col("key.row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
-    out = docs.join(gone, "__row", "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    signed = signed_lines(docs, text_col, min_words)
+    verdicts = _judged(signed, id_col, text_col, bits, blocks, similarity)
+    gone = verdicts.where("not kept").groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
+    out = signed.drop("__lines").join(gone, "__row", "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
     out = out.where(F.col("__gone").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in rest.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(rest.schema["n_chars"].dataType))
-    return out.select(rest.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
