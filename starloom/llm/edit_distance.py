@@ -36,6 +36,12 @@ def distance(a: str, b: str, most: int | None = None) -> int:
         a, b = b, a
     if most is not None and len(b) - len(a) > most:
         return most + 1
+    if a == b:
+        return 0
+    # what both begin and end with costs nothing
+    first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    last = next((i for i, (x, y) in enumerate(zip(a[: first - 1 if first else None : -1], b[: first - 1 if first else None : -1])) if x != y), len(a) - first)
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
     if not a:
         return len(b)
     score, left = len(a), len(b)

@@ -8,7 +8,7 @@ smallest (id, row, line number) stays.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from starloom.llm.components import connected_components
 from starloom.llm.decontaminate import normalise
 from starloom.llm.edit_distance import distance
 
-BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 5, 0.8, 3
+BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 8, 0.8, 3
 #: Places of the table that tells which lines' forms are asked for: 128 KB, whatever the input.
 SIEVE = 1 << 20
 
@@ -33,27 +33,51 @@ def forms(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, str]]
     return [(i, form) for i, form in found if form.count(" ") >= min_words - 1 and form]
 
 
-def digest(form: str) -> int:
-    """A form's 64-bit number, signed."""
-    return int(np.uint64(xxhash.xxh64_intdigest(form)).view(np.int64))
+def digests(lines: list[str]) -> np.ndarray:
+    """64-bit numbers of normal forms, signed."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
+
+
+class _Signs(dict):
+    """Words' numbers, given as they come, and a row of 64 signs for each."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh, self.signs = [], np.empty((0, 64), np.int8)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(xxhash.xxh64_intdigest(word))
+        return number
+
+    def table(self) -> np.ndarray:
+        if self.fresh:
+            hashes, self.fresh = np.array(self.fresh, "<u8"), []
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            self.signs = np.concatenate([self.signs, bits.astype(np.int8) * 2 - 1])
+        return self.signs
+
+
+_signs = _Signs()
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
     """Signed 64-bit SimHashes of normal forms over their distinct words; a bit is set if more words have it than lack it. Repeats don't count: else the few commonest words of a language would settle the bits of every long line."""
+    global _signs
     if not lines:
         return np.empty(0, np.int64)
-    numbers: dict[str, int] = {}
+    if len(_signs) > 1 << 18:  # bounded memory
+        _signs = _Signs()
     split = [set(line.split(" ")) for line in lines]
-    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for words in split for w in words), np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), "<u8", len(numbers))
-    signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+    codes = np.fromiter(map(_signs.__getitem__, chain.from_iterable(split)), np.int64)
+    signs = _signs.table()
     ends = np.cumsum([len(words) for words in split])
     starts = np.concatenate([[0], ends[:-1]])
     found, first = [], 0
-    while first < len(lines):  # some 65536 words at a time
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 65536)))
+    while first < len(lines):  # some 16384 words at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 16384)))
         own = signs[codes[starts[first] : ends[last - 1]]]
-        sums = np.add.reduceat(own, starts[first:last] - starts[first], axis=0, dtype=np.int32)
+        sums = np.add.reduceat(own, starts[first:last] - starts[first], axis=0, dtype=np.int16 if len(own) < 1 << 15 else np.int32)
         found.append(np.packbits(sums > 0, axis=1, bitorder="little").view("<i8").ravel())
         first = last
     return np.concatenate(found).astype(np.int64)
@@ -66,8 +90,9 @@ def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS) ->
         rows = []
         for at in range(0, len(texts), 256):
             own = [forms(text, min_words) for text in texts.iloc[at : at + 256]]
-            sims = iter(simhashes([f for found in own for _, f in found]).tolist())
-            rows += [([i for i, _ in found], [digest(f) for _, f in found], [next(sims) for _ in found]) for found in own]
+            lines = [f for found in own for _, f in found]
+            sims, numbers, ends = simhashes(lines), digests(lines), np.cumsum([len(found) for found in own])
+            rows += [([i for i, _ in found], numbers[e - len(found) : e], sims[e - len(found) : e]) for found, e in zip(own, ends)]
         return pd.DataFrame(rows, columns=["line", "form", "sim"])
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
@@ -77,12 +102,16 @@ def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS) ->
 
 def _asked_forms(signed: DataFrame, text_col: str, asked: DataFrame) -> DataFrame:
     """Rows (form, words) of the asked forms, one each. A sieve of bounded size keeps most other lines from being read again, a join keeps out the rest."""
-    bits = np.zeros(SIEVE, bool)
-    bits[[r.place for r in asked.select(F.pmod("form", F.lit(SIEVE)).alias("place")).distinct().toLocalIterator()]] = True
-    sieve = signed.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    place = F.pmod("form", F.lit(SIEVE)) + 1
+    maps = asked.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    whole = bytearray(SIEVE // 8)
+    for r in maps.collect():  # SIEVE bits in all
+        at = (r.part - 1) * len(r.bits)
+        whole[at : at + len(r.bits)] = r.bits
+    sieve = signed.sparkSession.sparkContext.broadcast(bytes(whole))
 
     def pick(batches):
-        inside = np.unpackbits(np.frombuffer(sieve.value, np.uint8)).astype(bool)
+        inside = np.unpackbits(np.frombuffer(sieve.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part, found = batch.slice(at, 512), {}
@@ -114,18 +143,30 @@ def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(verify, "boolean")("wa", "wb")).select("a", "b")
 
 
+def choices(blocks: int, bits: int) -> list[tuple[int, ...]]:
+    """Sets of blocks such that, whatever ``bits`` blocks differ, some set has none of them.
+
+    In general all sets of blocks - bits. For eight blocks and three bits the 14 planes of the affine space of three binary
+    dimensions do: three points lie in one plane, and the plane beside it has none of them. Each has half of the bits.
+    """
+    if (blocks, bits) == (8, 3):
+        planes = [tuple(x for x in range(8) if (x & a).bit_count() % 2 == side) for a in range(1, 8) for side in (0, 1)]
+        return planes
+    return list(combinations(range(blocks), blocks - bits))
+
+
 def _near_forms(signed: DataFrame, text_col: str, lines: DataFrame, bits: int, blocks: int, similarity: float) -> DataFrame:
     """Rows (form, group) of the forms that are linked to others. lines: form, sim.
 
-    bits edits touch at most that many of the blocks, so two near SimHashes agree in some choice of blocks - bits of them; each
-    choice is a key. Only keys with two forms or more go on, and of their forms those with a near one. These are first linked
+    Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice
+    is a key. Only keys with two forms or more go on, and of their forms those with a near one. These are first linked
     to the smallest and largest form under their keys; of the other pairs, only those whose ends are not yet in one group are
     left, so a large group of near copies doesn't become all its pairs.
     """
     edges = [64 * i // blocks for i in range(blocks + 1)]
     pieces = [F.shiftrightunsigned("sim", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
     keys = []
-    for tag, chosen in enumerate(combinations(range(blocks), blocks - bits)):
+    for tag, chosen in enumerate(choices(blocks, bits)):
         key = F.lit(tag).cast("long")
         for i in chosen:
             key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(pieces[i])
