@@ -171,9 +171,10 @@ def _near_forms(signed: DataFrame, text_col: str, lines: DataFrame, bits: int, b
         for i in chosen:
             key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(pieces[i])
         keys.append(key)
-    keyed = lines.select("form", "sim", F.explode(F.array(*keys)).alias("key"))
-    crowded = keyed.select("key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = materialise(keyed.join(crowded, "key"), "crowded-keys")
+    # one exchange serves the counts and the join: nearly all keys differ, so counting them before it would save nothing
+    keyed = lines.select("form", "sim", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("crowded"))
+    keyed = materialise(keyed.join(crowded.hint("shuffle_merge"), F.col("key") == F.col("crowded"), "left_semi"), "crowded-keys")
 
     near = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= bits
     other = keyed.select("key", F.col("form").alias("b"), F.col("sim").alias("sim_b"))
