@@ -66,23 +66,54 @@ def balls(radius: int, segments: int) -> list[tuple[int, int, list[int]]]:
     return found
 
 
-def near_links(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """Rows (a, b), a < b, of distinct fingerprints (column fp) that differ in 1 to ``radius`` bits; every such pair is found.
+def _tables(prints: DataFrame, radius: int, segments: int) -> DataFrame:
+    """A row (key, and prints' columns) for each piece of each fingerprint."""
+    pieces = [F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).bitwiseOR(F.lit(i << 40)) for i, (shift, width, _) in enumerate(balls(radius, segments))]
+    return prints.select("*", F.explode(F.array(*pieces)).alias("key"))
 
-    Three segments of about 21 bits suit up to some 2**26 fingerprints; two segments of 32 bits make larger balls and
-    shorter buckets for more. Either is exact.
-    """
-    tables, probes = [], []
+
+def _probes(prints: DataFrame, radius: int, segments: int) -> DataFrame:
+    """A row (key, and prints' columns) for each place of each ball around a piece of a fingerprint."""
+    own = []
     for i, (shift, width, flips) in enumerate(balls(radius, segments)):
         piece = F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
-        tag = i << 40
-        tables.append(prints.select(F.col("fp").alias("b"), piece.bitwiseOR(F.lit(tag)).alias("key")))
-        probes.append(prints.select(F.col("fp").alias("a"), F.explode(F.transform(F.array(*[F.lit(x | tag) for x in flips]), lambda x: piece.bitwiseXOR(x))).alias("key")))
-    left, right = probes[0], tables[0]
-    for p, t in zip(probes[1:], tables[1:]):
-        left, right = left.unionByName(p), right.unionByName(t)
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return left.join(right.hint("shuffle_merge"), (left["key"] == right["key"]) & near).select("a", "b").distinct()
+        own.append(F.transform(F.array(*[F.lit(x | i << 40) for x in flips]), piece.bitwiseXOR))
+    return prints.select("*", F.explode(F.concat(*own)).alias("key"))
+
+
+def _near(a: str, b: str, radius: int):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
+def near_links(prints: DataFrame, radius: int = 4, segments: int = 3, group: str | None = None) -> DataFrame:
+    """Rows (a, b), a < b, of distinct fingerprints (column fp) that differ in 1 to ``radius`` bits: every such pair, or every one whose columns ``group`` differ.
+
+    Three segments of about 21 bits suit up to some 2**26 fingerprints; two segments of 32 bits make larger balls and
+    shorter buckets for more. Either is exact. Distances are checked inside the join.
+    """
+    left = _probes(prints, radius, segments).withColumnsRenamed({"fp": "a", "key": "probe"} | ({group: "group_a"} if group else {}))
+    right = _tables(prints, radius, segments).withColumnsRenamed({"fp": "b"} | ({group: "group_b"} if group else {}))
+    near = (F.col("a") < F.col("b")) & _near("a", "b", radius)
+    if group:
+        near &= F.col("group_a") != F.col("group_b")
+    return left.join(right.hint("shuffle_merge"), (F.col("probe") == F.col("key")) & near).select("a", "b").distinct()
+
+
+def linked_components(prints: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+    """Rows (node, component) of the distinct fingerprints that are linked to another.
+
+    Fingerprints with a piece in common are first linked to the smallest and largest of them; then only near pairs that are
+    not in one component yet are looked for. So a large group of near copies doesn't become all its pairs.
+    """
+    tables = _tables(prints, radius, segments)
+    ends = tables.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high")
+    ends = ends.select("key", F.explode(F.array("low", "high")).alias("end"))
+    stars = tables.join(ends, "key").where((F.col("fp") != F.col("end")) & _near("fp", "end", radius)).select(F.col("fp").alias("a"), F.col("end").alias("b"))
+    stars = materialise(stars, "star-links")
+    components = connected_components(stars)
+    grouped = prints.join(components, prints["fp"] == components["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
+    rest = materialise(near_links(materialise(grouped, "grouped-fingerprints"), radius, segments, "group"), "rest-links")
+    return components if rest.isEmpty() else connected_components(stars.unionByName(rest))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, radius: int = 4, segments: int = 3) -> DataFrame:
@@ -95,7 +126,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(words_per_shingle)(F.col(text_col)).alias("fp")), "fingerprints")
     least = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    comps = materialise(connected_components(near_links(least.select("fp"), radius, segments)), "components")
+    comps = materialise(linked_components(least.select("fp"), radius, segments), "components")
     members = least.join(comps, least["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = members.join(members.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component_id")
@@ -106,7 +137,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialise(docs.withColumns({"__fp": fingerprint_udf(words_per_shingle)(F.col(text_col)), "__row": F.monotonically_increasing_id()}), "fingerprinted")
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     least = materialise(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(place).alias("place")), "distinct-fingerprints")
-    comps = connected_components(near_links(least.select("fp"), radius, segments))
+    comps = linked_components(least.select("fp"), radius, segments)
     members = least.join(comps, least["fp"] == comps["node"], "left").select("place", F.coalesce("component", "fp").alias("component"))
     keepers = members.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("__row"))
     return rows.join(keepers, "__row", "left_semi").select(docs.columns)

@@ -153,6 +153,9 @@ def test_near_links_find_every_pair(spark, segments):
     found = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, segments).collect()
     expected = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
     assert sorted(map(tuple, found)) == sorted(expected)
+    reach = groups_by_pairs(signed, lambda a, b: (a, b) in expected)
+    found = simhash.linked_components(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, segments).collect()
+    assert sorted(map(tuple, found)) == sorted((n, c) for n, c in reach.items() if sum(v == c for v in reach.values()) > 1)
 
 
 def test_gam(spark, texts):
