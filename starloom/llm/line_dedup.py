@@ -66,7 +66,7 @@ def simhashes(lines: list[str]) -> np.ndarray:
     global _signs
     if not lines:
         return np.empty(0, np.int64)
-    if len(_signs) > 1 << 18:  # bounded memory
+    if len(_signs) > 1 << 16:  # bounded memory
         _signs = _Signs()
     split = [set(line.split(" ")) for line in lines]
     codes = np.fromiter(map(_signs.__getitem__, chain.from_iterable(split)), np.int64)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from starloom.llm.common import materialise, table
 
 MAX_TOKENS, END_ID = 4096, 1
-#: Distinct words that a Python worker remembers.
-REMEMBERED = 1 << 19
+#: Distinct words, and parts of words, that a Python worker remembers; of words, twice as many for a while.
+REMEMBERED = 1 << 17
 
 
 class WordTokenizer:
