@@ -2,8 +2,9 @@
 
 A line's normal form is its letters and digits in lower case, runs of anything else being one space. Lines of one normal
 form are equal; distinct forms are linked if their 64-bit SimHash differs in at most ``BITS`` bits and their edit
-similarity (1 - distance / longer length) is ``SIMILARITY`` or more. Of a connected group, the occurrence with the
-smallest (id, row, line number) stays.
+similarity (1 - distance / longer length) is ``SIMILARITY`` or more. In a wide search, which the registered query and the
+pipeline make, forms are linked by edit similarity alone, and candidates share a key of line_keys instead. Of a connected
+group, the occurrence with the smallest (id, row, line number) stays.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import materialise, table
 from starloom.llm.components import connected_components
 from starloom.llm.decontaminate import normalise
 from starloom.llm.edit_distance import distance
+from starloom.llm.line_keys import keys_of
 
 BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 8, 0.8, 3
 #: Places of the table that tells which lines' forms are asked for: 128 KB, whatever the input.
@@ -83,15 +85,20 @@ def simhashes(lines: list[str]) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs, written once, with __row (a number) and __lines: arrays of line numbers, form digests and SimHashes."""
+def _lengths(lines: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS, wide: bool = False) -> DataFrame:
+    """docs, written once, with __row (a number) and __lines: arrays of line numbers, form digests and SimHashes (forms' lengths for a wide search)."""
+    sign = _lengths if wide else simhashes
 
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for at in range(0, len(texts), 256):
             own = [forms(text, min_words) for text in texts.iloc[at : at + 256]]
             lines = [f for found in own for _, f in found]
-            sims, numbers, ends = simhashes(lines), digests(lines), np.cumsum([len(found) for found in own])
+            sims, numbers, ends = sign(lines), digests(lines), np.cumsum([len(found) for found in own])
             rows += [([i for i, _ in found], numbers[e - len(found) : e], sims[e - len(found) : e]) for found, e in zip(own, ends)]
         return pd.DataFrame(rows, columns=["line", "form", "sim"])
 
@@ -155,14 +162,8 @@ def choices(blocks: int, bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), blocks - bits))
 
 
-def _near_forms(signed: DataFrame, text_col: str, lines: DataFrame, bits: int, blocks: int, similarity: float) -> DataFrame:
-    """Rows (form, group) of the forms that are linked to others. lines: form, sim.
-
-    Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice
-    is a key. Only keys with two forms or more go on, and of their forms those with a near one. These are first linked
-    to the smallest and largest form under their keys; of the other pairs, only those whose ends are not yet in one group are
-    left, so a large group of near copies doesn't become all its pairs.
-    """
+def _plane_keys(lines: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """Rows (form, sim, key) of lines (form, sim). Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice is a key."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     pieces = [F.shiftrightunsigned("sim", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
     keys = []
@@ -171,12 +172,47 @@ def _near_forms(signed: DataFrame, text_col: str, lines: DataFrame, bits: int, b
         for i in chosen:
             key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(pieces[i])
         keys.append(key)
+    return lines.select("form", "sim", F.explode(F.array(*keys)).alias("key")).repartition("key")
+
+
+def _wide_keys(signed: DataFrame, text_col: str) -> DataFrame:
+    """Rows (form, sim, key) of the forms' keys from line_keys, one each; sim is a form's length. Texts are read again: keys kept with each line would take more room than the lines."""
+
+    def of(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part, found = batch.slice(at, 256), {}
+                for text, lines, numbers in zip(part.column(0), part.column(1), part.column(2)):
+                    numbers = numbers.values.to_numpy().tolist()
+                    fresh = [i for i, n in enumerate(numbers) if n not in seen]
+                    if fresh:
+                        split, places = text.as_py().split("\n"), lines.values.to_numpy()
+                        found.update((numbers[i], normalise(split[places[i]])) for i in fresh)
+                        seen.update(numbers[i] for i in fresh)
+                if len(seen) > 1 << 18:  # bounded memory; a form that comes again gives its keys again
+                    seen.clear()
+                if found:
+                    forms_, lines = np.fromiter(found.keys(), np.int64, len(found)), list(found.values())
+                    keys, of_line = keys_of(lines)
+                    yield pa.RecordBatch.from_arrays([pa.array(forms_[of_line]), pa.array(_lengths(lines)[of_line]), pa.array(keys)], names=["form", "sim", "key"])
+
+    filled = signed.where(F.size("__lines.form") > 0).select(text_col, "__lines.line", "__lines.form")
+    keyed = filled.mapInArrow(of, "form long, sim long, key long").repartition("key")
+    return keyed.groupBy("key", "form").agg(F.first("sim").alias("sim")).select("form", "sim", "key")
+
+
+def _near_forms(signed: DataFrame, text_col: str, keyed: DataFrame, near: Column, similarity: float) -> DataFrame:
+    """Rows (form, group) of the forms that are linked to others. keyed: form, sim, key, by key; near tells from sim_a and sim_b whether a pair may be.
+
+    Only keys with two forms or more go on, and of their forms those with a near one. These are first linked
+    to the smallest and largest form under their keys; of the other pairs, only those whose ends are not yet in one group are
+    left, so a large group of near copies doesn't become all its pairs.
+    """
     # one exchange serves the counts and the join: nearly all keys differ, so counting them before it would save nothing
-    keyed = lines.select("form", "sim", F.explode(F.array(*keys)).alias("key")).repartition("key")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("crowded"))
     keyed = materialise(keyed.join(crowded.hint("shuffle_merge"), F.col("key") == F.col("crowded"), "left_semi"), "crowded-keys")
 
-    near = F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= bits
     other = keyed.select("key", F.col("form").alias("b"), F.col("sim").alias("sim_b"))
     first = keyed.withColumnsRenamed({"sim": "sim_a"})
     neighbours = first.join(other, (first["key"] == other["key"]) & (F.col("form") != F.col("b")) & near, "left_semi").select("form").distinct()
@@ -203,32 +239,37 @@ def _near_forms(signed: DataFrame, text_col: str, lines: DataFrame, bits: int, b
     return groups.select(F.col("node").alias("form"), F.col("component").alias("group"))
 
 
-def _judged(signed: DataFrame, id_col: str, text_col: str, bits: int, blocks: int, similarity: float) -> DataFrame:
+def _judged(signed: DataFrame, id_col: str, text_col: str, bits: int, blocks: int, similarity: float, wide: bool = False) -> DataFrame:
     lines = signed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.explode(F.arrays_zip("__lines.line", "__lines.form", "__lines.sim")).alias("l"))
     lines = lines.select("id", "row", F.col("l.line").alias("line"), F.col("l.form").alias("form"), F.col("l.sim").alias("sim"))
     place = F.struct("id", "row", "line")
     distinct = materialise(lines.groupBy("form").agg(F.first("sim").alias("sim"), F.min(place).alias("place")), "distinct-lines")
-    near = materialise(_near_forms(signed, text_col, distinct.select("form", "sim"), bits, blocks, similarity), "near-forms")
+    if wide:
+        keyed, may = _wide_keys(signed, text_col), F.least("sim_a", "sim_b") >= similarity * F.greatest("sim_a", "sim_b") - 1e-9
+    else:
+        keyed, may = _plane_keys(distinct.select("form", "sim"), bits, blocks), F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= bits
+    near = materialise(_near_forms(signed, text_col, keyed, may, similarity), "near-forms")
     grouped = distinct.join(near, "form", "left").select("form", "place", F.coalesce("group", "form").alias("group"))
     first = grouped.groupBy("group").agg(F.min("place").alias("keeper"))
     named = grouped.join(first, "group").select("form", "group", "keeper")
     return lines.join(named, "form").select("id", "row", "line", "group", place.eqNullSafe(F.col("keeper")).alias("kept"))
 
 
-def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, wide: bool = False) -> DataFrame:
     """A row for each line with at least min_words words: id, row (a number of docs' row), line (from 0), group, kept.
 
     Lines with fewer words, null and empty texts have no rows here and are left alone. Repeated rows are further occurrences;
     null ids sort first. Forms are known by 64-bit numbers. Only the two named columns are read. An empty table gives no rows.
+    wide: candidates come from line_keys, without a limit of bits.
     """
-    signed = signed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", min_words)
-    return _judged(signed, "id", "text", bits, blocks, similarity).withColumnRenamed("id", id_col)
+    signed = signed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", min_words, wide)
+    return _judged(signed, "id", "text", bits, blocks, similarity, wide).withColumnRenamed("id", id_col)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, wide: bool = False) -> DataFrame:
     """docs with the lines that are not kept taken out of the text; documents left without a word go. Columns are those of docs, n_chars follows the text."""
-    signed = signed_lines(docs, text_col, min_words)
-    verdicts = _judged(signed, id_col, text_col, bits, blocks, similarity)
+    signed = signed_lines(docs, text_col, min_words, wide)
+    verdicts = _judged(signed, id_col, text_col, bits, blocks, similarity, wide)
     gone = verdicts.where("not kept").groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
     left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
     out = signed.drop("__lines").join(gone, "__row", "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
@@ -239,4 +280,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_lines(table(spark, sf_dir, "documents")).select("doc_id", "line", F.col("group").alias("group_id"), "kept")
+    return judge_lines(table(spark, sf_dir, "documents"), wide=True).select("doc_id", "line", F.col("group").alias("group_id"), "kept")
