@@ -256,7 +256,7 @@ def _judged(signed: DataFrame, id_col: str, text_col: str, bits: int, blocks: in
 
 
 def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, wide: bool = False) -> DataFrame:
-    """A row for each line with at least min_words words: id, row (a number of docs' row), line (from 0), group, kept.
+    """A row for each line with at least min_words words (1: every line with a letter or digit): id, row (a number of docs' row), line (from 0), group, kept.
 
     Lines with fewer words, null and empty texts have no rows here and are left alone. Repeated rows are further occurrences;
     null ids sort first. Forms are known by 64-bit numbers. Only the two named columns are read. An empty table gives no rows.
@@ -280,4 +280,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_lines(table(spark, sf_dir, "documents"), wide=True).select("doc_id", "line", F.col("group").alias("group_id"), "kept")
+    return judge_lines(table(spark, sf_dir, "documents"), min_words=1, wide=True).select("doc_id", "line", F.col("group").alias("group_id"), "kept")

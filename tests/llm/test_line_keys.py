@@ -4,6 +4,7 @@ import random
 import string
 from itertools import combinations
 
+import corpus_pipeline
 from starloom.llm import edit_distance, line_dedup
 from starloom.llm.line_keys import keys_of
 from test_operators import groups_by_pairs
@@ -52,3 +53,15 @@ def test_wide_search(spark):
     assert {(r.doc_id, r.line): r.kept for r in found} == {(i, k): k == 0 and keeper[group[x]] == i for i, x in enumerate(names) for k in (0, 1)}
     assert len({group[x] for x in names}) < len(names) // 2 < line_dedup.judge_lines(frame).where("kept").count()
     assert {r.doc_id for r in line_dedup.dedup_lines(frame, wide=True).collect()} == {keeper[group[x]] for x in names}
+
+
+def test_short_and_spaceless_lines(spark, tmp_path):
+    rng = random.Random(9)
+    slug = "".join(rng.choices(string.ascii_lowercase + string.digits, k=60))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    lines = ["Les", "les!", "and ornd", "and ornt", "other", slug, slug[:30] + "q" + slug[31:], han, han[:20] + han[21:], "...", "7", "8"]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.kept for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {0: True, 1: False, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: False, 10: True, 11: True}
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {0, 2, 4, 5, 7, 9, 10, 11}
