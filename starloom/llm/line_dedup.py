@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import materialise, table
@@ -163,7 +163,7 @@ def choices(blocks: int, bits: int) -> list[tuple[int, ...]]:
 
 
 def _plane_keys(lines: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """Rows (form, sim, key) of lines (form, sim). Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice is a key."""
+    """Rows (form, sim, key) of lines (form, sim). Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice is a key, and those of two forms or more are left."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     pieces = [F.shiftrightunsigned("sim", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
     keys = []
@@ -172,11 +172,14 @@ def _plane_keys(lines: DataFrame, bits: int, blocks: int) -> DataFrame:
         for i in chosen:
             key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(pieces[i])
         keys.append(key)
-    return lines.select("form", "sim", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    # one exchange serves the counts and the join: nearly all keys differ, so counting them before it would save nothing
+    keyed = lines.select("form", "sim", F.explode(F.array(*keys)).alias("key")).repartition("key")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("crowded"))
+    return keyed.join(crowded.hint("shuffle_merge"), F.col("key") == F.col("crowded"), "left_semi")
 
 
 def _wide_keys(signed: DataFrame, text_col: str) -> DataFrame:
-    """Rows (form, sim, key) of the forms' keys from line_keys, one each; sim is a form's length. Texts are read again: keys kept with each line would take more room than the lines."""
+    """Rows (form, sim, key) of the forms' keys from line_keys that another form has too, one each; sim is a form's length. Texts are read again: keys kept with each line would take more room than the lines."""
 
     def of(batches):
         seen: set[int] = set()
@@ -198,20 +201,21 @@ def _wide_keys(signed: DataFrame, text_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(forms_[of_line]), pa.array(_lengths(lines)[of_line]), pa.array(keys)], names=["form", "sim", "key"])
 
     filled = signed.where(F.size("__lines.form") > 0).select(text_col, "__lines.line", "__lines.form")
-    keyed = filled.mapInArrow(of, "form long, sim long, key long").repartition("key")
-    return keyed.groupBy("key", "form").agg(F.first("sim").alias("sim")).select("form", "sim", "key")
+    keyed = filled.mapInArrow(of, "form long, sim long, key long")
+    # a window needs the keys once; a count joined to them would make them twice
+    own = Window.partitionBy("key")
+    shared = keyed.withColumns({"low": F.min("form").over(own), "high": F.max("form").over(own)}).where("low < high")
+    return shared.groupBy("key", "form").agg(F.first("sim").alias("sim")).select("form", "sim", "key")
 
 
 def _near_forms(signed: DataFrame, text_col: str, keyed: DataFrame, near: Column, similarity: float) -> DataFrame:
-    """Rows (form, group) of the forms that are linked to others. keyed: form, sim, key, by key; near tells from sim_a and sim_b whether a pair may be.
+    """Rows (form, group) of the forms that are linked to others. keyed: form, sim, key; near tells from sim_a and sim_b whether a pair may be.
 
-    Only keys with two forms or more go on, and of their forms those with a near one. These are first linked
+    Of the forms those go on that have a near one. These are first linked
     to the smallest and largest form under their keys; of the other pairs, only those whose ends are not yet in one group are
     left, so a large group of near copies doesn't become all its pairs.
     """
-    # one exchange serves the counts and the join: nearly all keys differ, so counting them before it would save nothing
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("crowded"))
-    keyed = materialise(keyed.join(crowded.hint("shuffle_merge"), F.col("key") == F.col("crowded"), "left_semi"), "crowded-keys")
+    keyed = materialise(keyed, "crowded-keys")
 
     other = keyed.select("key", F.col("form").alias("b"), F.col("sim").alias("sim_b"))
     first = keyed.withColumnsRenamed({"sim": "sim_a"})

@@ -92,7 +92,7 @@ def _variants(line: str) -> np.ndarray:
 
 
 def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, numbers of the lines that they belong to)."""
+    """(keys of 48 bits, numbers of the lines that they belong to)."""
     lengths = np.array([len(line) for line in lines], np.int64)
     words = np.array([line.count(" ") + 1 for line in lines], np.int64)
     few = (words <= 12) | (lengths > 12 * words)
@@ -106,4 +106,4 @@ def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(which):
             hashes, sizes = shingles_of([lines[i] for i in which.tolist()])
             parts.append((_minima(hashes, sizes, keys, shingles, kind).ravel(), np.repeat(which, keys)))
-    return np.concatenate([k for k, _ in parts]), np.concatenate([i for _, i in parts])
+    return np.concatenate([k for k, _ in parts]) & ((1 << 48) - 1), np.concatenate([i for _, i in parts])
