@@ -25,11 +25,16 @@ ERROR_RATE = 0.1
 #: Bytes of items that one scan of the documents looks for; more items are looked for in blocks of that size.
 BLOCK_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII letters and digits in lower case, any other byte a space.
+_PLAIN = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
 def normalise(text: str | None) -> str:
     """Letters and digits in lower case; anything between is one space."""
-    return " ".join(_WORD.findall((text or "").lower()))
+    text = text or ""
+    if text.isascii():
+        return " ".join(text.encode().translate(_PLAIN).decode().split())
+    return " ".join(_WORD.findall(text.lower()))
 
 
 class Index:

@@ -1,7 +1,15 @@
-"""Myers' bit-parallel edit distance, on Python's unbounded integers."""
+"""Myers' bit-parallel edit distance: on Python's unbounded integers, and on many pairs side by side in 64-bit blocks."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+
+_ONE, _ALL = np.uint64(1), np.uint64(2**64 - 1)
+#: Sizes, in blocks of 64 characters, for which pairs are gathered and compared side by side; so many at a time.
+BLOCKS, ABREAST = (1, 2, 3, 4, 6, 8, 11, 14, 18, 24), 4096
+
 
 def masks(pattern: str) -> dict[str, int]:
     """For each character, the bits of its places in pattern."""
@@ -30,6 +38,23 @@ def _scan(pattern: str, peq: dict[str, int], text: str, anchored: bool):
         yield score
 
 
+def _common(a: str, b: str) -> int:
+    """How many characters two texts begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        at = (low + high + 1) // 2
+        low, high = (at, high) if a[low:at] == b[low:at] else (low, at - 1)
+    return low
+
+
+def _middles(a: str, b: str) -> tuple[str, str]:
+    """What is left of two texts without what both begin and end with, which costs nothing."""
+    first = _common(a, b)
+    a, b = a[first:], b[first:]
+    last = _common(a[::-1], b[::-1])
+    return a[: len(a) - last], b[: len(b) - last]
+
+
 def distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance of two texts, or most + 1 if it is over most."""
     if len(a) > len(b):
@@ -38,10 +63,7 @@ def distance(a: str, b: str, most: int | None = None) -> int:
         return most + 1
     if a == b:
         return 0
-    # what both begin and end with costs nothing
-    first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    last = next((i for i, (x, y) in enumerate(zip(a[: first - 1 if first else None : -1], b[: first - 1 if first else None : -1])) if x != y), len(a) - first)
-    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    a, b = _middles(a, b)
     if not a:
         return len(b)
     score, left = len(a), len(b)
@@ -52,6 +74,96 @@ def distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
+def _bound(a: list[str], b: list[str], most: int) -> int:
+    """At least the distance of two texts, given as words, or over most: words that both have once stay where they are, in the order of the first text, and what lies between two of them is replaced."""
+    place = {w: i for i, w in enumerate(b)}
+    once = place.keys() - {w for w, n in Counter(b).items() if n > 1} if len(place) < len(b) else place
+    if len(set(a)) < len(a):
+        twice = {w for w, n in Counter(a).items() if n > 1}
+        shared = [(i, place[w]) for i, w in enumerate(a) if w in once and w not in twice]
+    else:
+        shared = [(i, place[w]) for i, w in enumerate(a) if w in once]
+    cost = at = last = 0
+    for i, j in [*shared, (len(a), len(b))]:
+        if j >= last:
+            if (i - at or j - last) and a[at:i] != b[last:j]:
+                cost += max(sum(map(len, a[at:i])) + i - at, sum(map(len, b[last:j])) + j - last)
+                if cost > most:
+                    break
+            at, last = i + 1, j + 1
+    return cost
+
+
+def _quick(a: str, b: str, most: int) -> bool | None:
+    """Whether the distance is at most ``most``, where that shows without a look at the letters."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    if max(map(len, _middles(a, b))) <= most or _bound(a.split(" "), b.split(" "), most) <= most:
+        return True
+    return None
+
+
+def distances(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
+    """Levenshtein distances of pairs; the first text of each has 1 to 64 * blocks characters."""
+    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
+    sizes = np.array([len(pairs[i][0]) for i in order])
+    ends = np.array([len(pairs[i][1]) for i in order])
+    codes = lambda texts, width: np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width)
+    pattern, text = codes([pairs[i][0] for i in order], 64 * blocks), codes([pairs[i][1] for i in order], max(1, int(ends[0])))
+    kinds, both = np.unique(np.concatenate([pattern.ravel(), text.ravel()]), return_inverse=True)
+    pattern, text = both[: pattern.size].reshape(pattern.shape), both[pattern.size :].reshape(text.shape)
+    rows = np.arange(len(pairs))
+    places = np.zeros((len(kinds), len(pairs), blocks), np.uint64)
+    for i in range(64 * blocks):
+        n = np.flatnonzero(sizes > i)
+        places[pattern[n, i], n, i // 64] |= _ONE << np.uint64(i % 64)
+    up, down = np.full((blocks, len(pairs)), _ALL), np.zeros((blocks, len(pairs)), np.uint64)
+    score, last, ends_in = sizes.copy(), np.zeros((blocks, len(pairs)), np.uint64), set(((sizes - 1) // 64).tolist())
+    last[(sizes - 1) // 64, rows] = _ONE << ((sizes - 1) % 64).astype(np.uint64)  # the place of the pattern's last character
+    for j in range(int(ends[0])):
+        n = int(np.searchsorted(-ends, -j, "left"))  # texts that go on
+        plus, minus = np.ones(n, np.uint64), np.zeros(n, np.uint64)
+        same = places[text[:n, j], rows[:n]]
+        for w in range(blocks):
+            pv, mv, eq = up[w, :n], down[w, :n], same[:, w]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            if w in ends_in:
+                score[:n] += ((ph & last[w, :n]) != 0).astype(np.int64) - ((mh & last[w, :n]) != 0)
+            before = plus, minus
+            plus, minus = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph, mh = ph << _ONE | before[0], mh << _ONE | before[1]
+            up[w, :n], down[w, :n] = mh | ~(xv | ph), ph & xv
+    found = np.empty(len(pairs), np.int64)
+    found[order] = score
+    return found
+
+
+def all_similar(left: list[str], right: list[str], most: list[int]) -> np.ndarray:
+    """Of each pair, whether its distance is at most so much. Pairs of like length are compared side by side."""
+    found, open_ = np.zeros(len(left), bool), {}
+    for i, (a, b, m) in enumerate(zip(left, right, most)):
+        quick = _quick(a, b, m)
+        if quick is not None:
+            found[i] = quick
+            continue
+        a, b = sorted(_middles(a, b), key=len)
+        blocks = next((n for n in BLOCKS if len(a) <= 64 * n), 0)
+        if blocks:
+            open_.setdefault(blocks, []).append((i, (a, b)))
+        else:
+            found[i] = distance(a, b, m) <= m
+    for blocks, own in open_.items():
+        own.sort(key=lambda x: len(x[1][1]))
+        for at in range(0, len(own), ABREAST):
+            part = own[at : at + ABREAST]
+            numbers = [i for i, _ in part]
+            found[numbers] = distances([p for _, p in part], blocks) <= np.array(most)[numbers]
+    return found
+
+
 def search(pattern: str, peq: dict[str, int], text: str, most: int) -> tuple[int, int, int] | None:
     """(distance, start, stop) of the best match of pattern in text with at most ``most`` edits, the first of equals; None without one."""
     best, stop = most + 1, -1

@@ -1,28 +1,28 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line of each group.
+"""Fuzzy line deduplication: signatures of normalised lines, shared keys, edit similarity, one line of each group.
 
 A line's normal form is its letters and digits in lower case, runs of anything else being one space. Lines of one normal
-form are equal; distinct forms are linked if their 64-bit SimHash differs in at most ``BITS`` bits and their edit
-similarity (1 - distance / longer length) is ``SIMILARITY`` or more. In a wide search, which the registered query and the
-pipeline make, forms are linked by edit similarity alone, and candidates share a key of line_keys instead. Of a connected
-group, the occurrence with the smallest (id, row, line number) stays.
+form are equal; distinct forms are linked if their 64-bit SimHash differs in at most ``BITS`` bits (candidates then share a
+pigeonhole block) and their edit similarity (1 - distance / longer length) is ``SIMILARITY`` or more. In a wide search,
+which the registered query and the pipeline make, candidates share a key of line_keys instead, their sketches agree, and
+edit similarity alone decides. Of a connected group, the occurrence with the smallest (id, row, line number) stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import materialise, table
+from starloom.llm.common import discard, materialise, table
 from starloom.llm.components import connected_components
 from starloom.llm.decontaminate import normalise
-from starloom.llm.edit_distance import distance
-from starloom.llm.line_keys import keys_of
+from starloom.llm.edit_distance import all_similar
+from starloom.llm.line_keys import Signs, agree, signs_of
 
 BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 8, 0.8, 3
 #: Places of the table that tells which lines' forms are asked for: 128 KB, whatever the input.
@@ -85,30 +85,69 @@ def simhashes(lines: list[str]) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def _lengths(lines: list[str]) -> np.ndarray:
-    return np.fromiter(map(len, lines), np.int64, len(lines))
+def _simhash_signs(lines: list[str]) -> Signs:
+    """A SimHash for each line, without keys: blocks of its bits serve as keys."""
+    return Signs(np.arange(len(lines)), simhashes(lines), np.zeros(len(lines), np.int64), np.empty(0, np.int64))
+
+
+_LISTS = {"line": pa.int32(), "form": pa.int64(), "fresh": pa.int64(), "size": pa.int32(), "words": pa.string(), "owner": pa.int64(), "sketch": pa.int64()}
+_STRUCT = pa.struct([*((name, pa.list_(kind)) for name, kind in _LISTS.items()), ("keys", pa.binary())])
+
+
+def _signed_part(texts: list[str | None], min_words: int, sign, seen: set[int]) -> pa.StructArray:
+    """Lists for some texts: their lines' numbers and form digests; digests, lengths and words of forms not seen before; and those forms' signs."""
+    own = [forms(text, min_words) for text in texts]
+    flat = [form for found in own for _, form in found]
+    numbers, ends = digests(flat), np.cumsum([len(found) for found in own])
+    fresh = []
+    for i, n in enumerate(numbers.tolist()):
+        if n not in seen:
+            seen.add(n)
+            fresh.append(i)
+    words, fresh = [flat[i] for i in fresh], np.array(fresh, np.int64)
+    signs = sign(words)
+    order = np.argsort(signs.line, kind="stable")
+    stops = np.cumsum(signs.sizes)
+    starts = stops - signs.sizes
+    keys = signs.keys[np.repeat(starts[order] - np.cumsum(signs.sizes[order]) + signs.sizes[order], signs.sizes[order]) + np.arange(len(signs.keys))]
+    text_of = np.searchsorted(ends, fresh, "right")
+    edges = lambda of: np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
+    lines, news, entries = np.concatenate([[0], ends]).astype(np.int32), edges(text_of), edges(text_of[signs.line])
+    values = {
+        "line": (lines, np.array([i for found in own for i, _ in found], np.int32)), "form": (lines, numbers), "fresh": (news, numbers[fresh]),
+        "size": (news, np.array([len(w) for w in words], np.int32)), "words": (news, words), "owner": (entries, numbers[fresh[signs.line[order]]]), "sketch": (entries, signs.sketch[order]),
+    }
+    lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x, _LISTS[name])) for name, (at, x) in values.items()]
+    # a key and whose it is, 8 bytes each, side by side
+    of_keys = signs.line[np.repeat(order, signs.sizes[order])]
+    raw = np.stack([numbers[fresh[of_keys]], keys], axis=1).astype("<i8").tobytes()
+    at = 16 * edges(text_of[of_keys])
+    blobs = pa.array([raw[a:b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())
+    return pa.StructArray.from_arrays([*lists, blobs], fields=list(_STRUCT))
+
+
+def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS, wide: bool = False, keep_text: bool = True) -> DataFrame:
+    """docs (less the text, if it isn't kept), written once, with __row (a number) and __lines: arrays of line numbers and form digests, and of signs of the forms that a task meets for the first time. Texts are taken apart here only."""
+    sign = signs_of if wide else _simhash_signs
 
+    def of(batches):
+        seen: set[int] = set()
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), 256):
+                parts.append(_signed_part(texts.slice(at, 256).to_pylist(), min_words, sign, seen))
+                if len(seen) > 1 << 18:  # bounded memory; a form that comes again is signed again
+                    seen.clear()
+            yield pa.concat_arrays(parts) if parts else pa.array([], _STRUCT)
 
-def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS, wide: bool = False) -> DataFrame:
-    """docs, written once, with __row (a number) and __lines: arrays of line numbers, form digests and SimHashes (forms' lengths for a wide search)."""
-    sign = _lengths if wide else simhashes
-
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for at in range(0, len(texts), 256):
-            own = [forms(text, min_words) for text in texts.iloc[at : at + 256]]
-            lines = [f for found in own for _, f in found]
-            sims, numbers, ends = sign(lines), digests(lines), np.cumsum([len(found) for found in own])
-            rows += [([i for i, _ in found], numbers[e - len(found) : e], sims[e - len(found) : e]) for found, e in zip(own, ends)]
-        return pd.DataFrame(rows, columns=["line", "form", "sim"])
-
-    of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    lines = F.pandas_udf(of, "line array<int>, form array<long>, sim array<long>")(F.col(text_col))
-    return materialise(docs.withColumns({"__lines": lines, "__row": F.monotonically_increasing_id()}), "signed-lines")
+    of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    schema = "line array<int>, form array<long>, fresh array<long>, size array<int>, words array<string>, owner array<long>, sketch array<long>, keys binary"
+    signed = docs.withColumns({"__lines": F.arrow_udf(of, schema)(F.col(text_col)), "__row": F.monotonically_increasing_id()})
+    return materialise(signed if keep_text else signed.drop(text_col), "signed-lines")
 
 
-def _asked_forms(signed: DataFrame, text_col: str, asked: DataFrame) -> DataFrame:
-    """Rows (form, words) of the asked forms, one each. A sieve of bounded size keeps most other lines from being read again, a join keeps out the rest."""
+def _asked_forms(signed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (form, words) of the asked forms, one each. A sieve of bounded size keeps most other forms from being shuffled, a join keeps out the rest."""
     place = F.pmod("form", F.lit(SIEVE)) + 1
     maps = asked.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     whole = bytearray(SIEVE // 8)
@@ -120,34 +159,35 @@ def _asked_forms(signed: DataFrame, text_col: str, asked: DataFrame) -> DataFram
     def pick(batches):
         inside = np.unpackbits(np.frombuffer(sieve.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part, found = batch.slice(at, 512), {}
-                for text, lines, numbers in zip(part.column(0), part.column(1), part.column(2)):
-                    numbers = numbers.values.to_numpy()
-                    hits = np.flatnonzero(inside[numbers % SIEVE])
-                    if len(hits):
-                        split, lines = text.as_py().split("\n"), lines.values
-                        found.update((int(numbers[i]), normalise(split[lines[i].as_py()])) for i in hits.tolist() if int(numbers[i]) not in found)
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], names=["form", "words"])
-
-    filled = signed.where(F.size("__lines.form") > 0).select(text_col, "__lines.line", "__lines.form")
-    picked = filled.mapInArrow(pick, "form long, words string")
+            numbers, words = batch.column(0).flatten(), batch.column(1).flatten()
+            hits = pa.array(np.flatnonzero(inside[numbers.to_numpy() % SIEVE]))
+            yield pa.RecordBatch.from_arrays([numbers.take(hits), words.take(hits)], names=["form", "words"])
+
+    picked = signed.where(F.size("__lines.fresh") > 0).select("__lines.fresh", "__lines.words").mapInArrow(pick, "form long, words string")
     return picked.join(asked, "form", "left_semi").groupBy("form").agg(F.first("words").alias("words"))
 
 
 def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of forms with that edit similarity."""
 
-    def verify(left: pd.Series, right: pd.Series) -> pd.Series:
-        def near(x: str, y: str) -> bool:
-            most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-            return distance(x, y, most) <= most
+    def verify(batches):
+        def judged(rows: pa.Table) -> list[pa.RecordBatch]:
+            left, right = rows["wa"].to_pylist(), rows["wb"].to_pylist()
+            near = all_similar(left, right, [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(left, right)])
+            return rows.select(["a", "b"]).filter(pa.array(near)).combine_chunks().to_batches()
 
-        return pd.Series([near(x, y) for x, y in zip(left, right)], dtype=bool)
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > 64 << 20:
+                yield from judged(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from judged(pa.Table.from_batches(held))
 
     left, right = words.select(F.col("form").alias("a"), F.col("words").alias("wa")), words.select(F.col("form").alias("b"), F.col("words").alias("wb"))
-    verify.__annotations__ = {"left": pd.Series, "right": pd.Series, "return": pd.Series}
-    return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(verify, "boolean")("wa", "wb")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long")
 
 
 def choices(blocks: int, bits: int) -> list[tuple[int, ...]]:
@@ -162,98 +202,94 @@ def choices(blocks: int, bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(blocks), blocks - bits))
 
 
-def _plane_keys(lines: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """Rows (form, sim, key) of lines (form, sim). Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice is a key, and those of two forms or more are left."""
+def _plane_keys(signed: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """Rows (form, size, sketch, key). Differing bits touch at most that many of the blocks, so two near SimHashes agree in some choice of the others; each choice is a key."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    pieces = [F.shiftrightunsigned("sim", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
+    pieces = [F.shiftrightunsigned("sketch", a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
     keys = []
     for tag, chosen in enumerate(choices(blocks, bits)):
         key = F.lit(tag).cast("long")
         for i in chosen:
             key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(pieces[i])
         keys.append(key)
-    # one exchange serves the counts and the join: nearly all keys differ, so counting them before it would save nothing
-    keyed = lines.select("form", "sim", F.explode(F.array(*keys)).alias("key")).repartition("key")
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("crowded"))
-    return keyed.join(crowded.hint("shuffle_merge"), F.col("key") == F.col("crowded"), "left_semi")
-
+    signs = signed.select(F.explode(F.arrays_zip("__lines.fresh", "__lines.size", "__lines.sketch")).alias("s"))
+    signs = signs.select(F.col("s.fresh").alias("form"), F.col("s.size").alias("size"), F.col("s.sketch").alias("sketch"))
+    return _shared(signs.withColumn("key", F.explode(F.array(*keys))))
 
-def _wide_keys(signed: DataFrame, text_col: str) -> DataFrame:
-    """Rows (form, sim, key) of the forms' keys from line_keys that another form has too, one each; sim is a form's length. Texts are read again: keys kept with each line would take more room than the lines."""
 
-    def of(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, found = batch.slice(at, 256), {}
-                for text, lines, numbers in zip(part.column(0), part.column(1), part.column(2)):
-                    numbers = numbers.values.to_numpy().tolist()
-                    fresh = [i for i, n in enumerate(numbers) if n not in seen]
-                    if fresh:
-                        split, places = text.as_py().split("\n"), lines.values.to_numpy()
-                        found.update((numbers[i], normalise(split[places[i]])) for i in fresh)
-                        seen.update(numbers[i] for i in fresh)
-                if len(seen) > 1 << 18:  # bounded memory; a form that comes again gives its keys again
-                    seen.clear()
-                if found:
-                    forms_, lines = np.fromiter(found.keys(), np.int64, len(found)), list(found.values())
-                    keys, of_line = keys_of(lines)
-                    yield pa.RecordBatch.from_arrays([pa.array(forms_[of_line]), pa.array(_lengths(lines)[of_line]), pa.array(keys)], names=["form", "sim", "key"])
-
-    filled = signed.where(F.size("__lines.form") > 0).select(text_col, "__lines.line", "__lines.form")
-    keyed = filled.mapInArrow(of, "form long, sim long, key long")
-    # a window needs the keys once; a count joined to them would make them twice
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows (form, key, ...) whose key another form has too, one each."""
     own = Window.partitionBy("key")
-    shared = keyed.withColumns({"low": F.min("form").over(own), "high": F.max("form").over(own)}).where("low < high")
-    return shared.groupBy("key", "form").agg(F.first("sim").alias("sim")).select("form", "sim", "key")
+    crowded = keyed.withColumns({"low": F.min("form").over(own), "high": F.max("form").over(own)}).where("low < high").drop("low", "high")
+    return crowded.dropDuplicates(["key", "form"])
 
 
-def _near_forms(signed: DataFrame, text_col: str, keyed: DataFrame, near: Column, similarity: float) -> DataFrame:
-    """Rows (form, group) of the forms that are linked to others. keyed: form, sim, key; near tells from sim_a and sim_b whether a pair may be.
+def _wide_keys(signed: DataFrame) -> DataFrame:
+    """Rows (form, size, sketch, key) of the forms' keys that another form has too. Keys are shuffled alone; what else is known of a form joins the few that are left."""
 
-    Of the forms those go on that have a near one. These are first linked
-    to the smallest and largest form under their keys; of the other pairs, only those whose ends are not yet in one group are
-    left, so a large group of near copies doesn't become all its pairs.
+    def pairs(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                found = np.frombuffer(b"".join(batch.column(0).slice(at, 2048).to_pylist()), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["form", "key"])
+
+    keyed = signed.where(F.length("__lines.keys") > 0).select("__lines.keys").mapInArrow(pairs, "form long, key long")
+    keyed = materialise(_shared(keyed), "shared-keys")
+    kind = F.col("key").bitwiseAND(3)
+    sketches = signed.select(F.explode(F.arrays_zip("__lines.owner", "__lines.sketch")).alias("e")).select(F.col("e.owner").alias("form"), F.col("e.sketch").alias("sketch"))
+    sketches = sketches.withColumn("kind", F.col("sketch").bitwiseAND(3))
+    sizes = signed.select(F.explode(F.arrays_zip("__lines.fresh", "__lines.size")).alias("f")).select(F.col("f.fresh").alias("form"), F.col("f.size").alias("size"))
+    crowded = keyed.select("form", kind.alias("kind")).distinct()
+    known = sketches.join(crowded, ["form", "kind"], "left_semi").dropDuplicates(["form", "kind"])
+    known = known.join(sizes.join(crowded.select("form"), "form", "left_semi").dropDuplicates(["form"]), "form")
+    return keyed.withColumn("kind", kind).join(known, ["form", "kind"]).select("form", "size", "sketch", "key")
+
+
+def _near_forms(signed: DataFrame, keyed: DataFrame, near: Column, similarity: float) -> DataFrame:
+    """Rows (form, group) of the forms that are linked to others. keyed: form, size, sketch, key; near tells from size_a, sketch_a, size_b and sketch_b whether a pair may be.
+
+    Each form is first compared with one form of each of its keys, drawn by a hash of both, so that a large group of near
+    copies soon hangs together; of the other pairs, only those whose ends are not yet in one group are left.
     """
     keyed = materialise(keyed, "crowded-keys")
-
-    other = keyed.select("key", F.col("form").alias("b"), F.col("sim").alias("sim_b"))
-    first = keyed.withColumnsRenamed({"sim": "sim_a"})
-    neighbours = first.join(other, (first["key"] == other["key"]) & (F.col("form") != F.col("b")) & near, "left_semi").select("form").distinct()
-    neighbours = materialise(neighbours, "neighbours")
-    keyed = materialise(keyed.join(neighbours, "form", "left_semi"), "near-keys")
-    words = materialise(_asked_forms(signed, text_col, neighbours), "forms")
-    low, high = F.struct("form", "sim"), F.max(F.struct("form", "sim"))
-    ends = keyed.groupBy("key").agg(F.min(low).alias("low"), high.alias("high"))
-    ends = ends.select("key", F.explode(F.array("low", "high")).alias("end")).select("key", F.col("end.form").alias("b"), F.col("end.sim").alias("sim_b"))
-    own = keyed.select("key", F.col("form").alias("a"), F.col("sim").alias("sim_a"))
-    stars = own.join(ends, "key").where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda frame, s: frame.withColumnsRenamed({c: f"{c}_{s}" for c in ("form", "size", "sketch", "group") if c in frame.columns})
+    pair = [F.least("form_a", "form_b").alias("a"), F.greatest("form_a", "form_b").alias("b")]
+    drawn = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("form", "key").alias("draw"), "form", "size", "sketch")).alias("d")).select("key", "d.form", "d.size", "d.sketch")
+    stars = side(keyed, "a").join(side(drawn, "b"), "key").where((F.col("form_a") != F.col("form_b")) & near).select(*pair).distinct()
     stars = materialise(stars, "star-pairs")
-
-    links = materialise(_similar(stars, words, similarity), "links")
+    links = materialise(_similar(stars, _words_of(signed, stars), similarity), "links")
     groups = connected_components(links)
-    grouped = keyed.join(groups, keyed["form"] == groups["node"], "left").select("key", "form", "sim", F.coalesce("component", "form").alias("group"))
+    grouped = keyed.join(groups, keyed["form"] == groups["node"], "left").select("key", "form", "size", "sketch", F.coalesce("component", "form").alias("group"))
     grouped = materialise(grouped, "grouped-keys")
-    left = grouped.select("key", F.col("form").alias("a"), F.col("sim").alias("sim_a"), F.col("group").alias("group_a"))
-    right = grouped.select("key", F.col("form").alias("b"), F.col("sim").alias("sim_b"), F.col("group").alias("group_b"))
-    apart = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near
-    rest = materialise(left.join(right, apart).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "rest-pairs")
+    left, right = side(grouped, "a"), side(grouped, "b")
+    apart = (left["key"] == right["key"]) & (F.col("form_a") < F.col("form_b")) & (F.col("group_a") != F.col("group_b")) & near
+    rest = left.join(right, apart).select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = materialise(rest, "rest-pairs")
     if not rest.isEmpty():
-        groups = connected_components(links.unionByName(_similar(rest, words, similarity)))
-    return groups.select(F.col("node").alias("form"), F.col("component").alias("group"))
+        groups = connected_components(links.unionByName(_similar(rest, _words_of(signed, rest), similarity)))
+    found = materialise(groups.select(F.col("node").alias("form"), F.col("component").alias("group")), "near-forms")
+    for done in (keyed, stars, links, grouped, rest):
+        discard(done)
+    return found
 
 
-def _judged(signed: DataFrame, id_col: str, text_col: str, bits: int, blocks: int, similarity: float, wide: bool = False) -> DataFrame:
-    lines = signed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.explode(F.arrays_zip("__lines.line", "__lines.form", "__lines.sim")).alias("l"))
-    lines = lines.select("id", "row", F.col("l.line").alias("line"), F.col("l.form").alias("form"), F.col("l.sim").alias("sim"))
+def _words_of(signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("form")).distinct()
+    return materialise(_asked_forms(signed, asked), "forms")
+
+
+def _judged(signed: DataFrame, id_col: str, bits: int, blocks: int, similarity: float, wide: bool = False) -> DataFrame:
+    lines = signed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.explode(F.arrays_zip("__lines.line", "__lines.form")).alias("l"))
+    lines = lines.select("id", "row", F.col("l.line").alias("line"), F.col("l.form").alias("form"))
     place = F.struct("id", "row", "line")
-    distinct = materialise(lines.groupBy("form").agg(F.first("sim").alias("sim"), F.min(place).alias("place")), "distinct-lines")
+    may = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
     if wide:
-        keyed, may = _wide_keys(signed, text_col), F.least("sim_a", "sim_b") >= similarity * F.greatest("sim_a", "sim_b") - 1e-9
+        keyed, may = _wide_keys(signed), may & agree(F.col("sketch_a"), F.col("sketch_b"))
     else:
-        keyed, may = _plane_keys(distinct.select("form", "sim"), bits, blocks), F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= bits
-    near = materialise(_near_forms(signed, text_col, keyed, may, similarity), "near-forms")
-    grouped = distinct.join(near, "form", "left").select("form", "place", F.coalesce("group", "form").alias("group"))
+        keyed, may = _plane_keys(signed, bits, blocks), may & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= bits)
+    near = _near_forms(signed, keyed, may, similarity)
+    firsts = lines.groupBy("form").agg(F.min(place).alias("place"))
+    grouped = materialise(firsts.join(near, "form", "left").select("form", "place", F.coalesce("group", "form").alias("group")), "distinct-lines")
     first = grouped.groupBy("group").agg(F.min("place").alias("keeper"))
     named = grouped.join(first, "group").select("form", "group", "keeper")
     return lines.join(named, "form").select("id", "row", "line", "group", place.eqNullSafe(F.col("keeper")).alias("kept"))
@@ -266,18 +302,33 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null ids sort first. Forms are known by 64-bit numbers. Only the two named columns are read. An empty table gives no rows.
     wide: candidates come from line_keys, without a limit of bits.
     """
-    signed = signed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", min_words, wide)
-    return _judged(signed, "id", "text", bits, blocks, similarity, wide).withColumnRenamed("id", id_col)
+    signed = signed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", min_words, wide, keep_text=False)
+    return _judged(signed, "id", bits, blocks, similarity, wide).withColumnRenamed("id", id_col)
+
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, wide: bool = False, most_lost: float = 1.0) -> DataFrame:
+    """docs with the lines that are not kept taken out of the text; documents left without a word go, and so do those that lose more than the share ``most_lost`` of their characters, which are copies but for a few lines.
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, wide: bool = False) -> DataFrame:
-    """docs with the lines that are not kept taken out of the text; documents left without a word go. Columns are those of docs, n_chars follows the text."""
+    Columns are those of docs, n_chars follows the text. Null and empty texts and lines without a letter or digit stay as
+    they are. Of repeated rows the first as docs is written keeps the text; null ids come first. An empty table gives no rows.
+    """
     signed = signed_lines(docs, text_col, min_words, wide)
-    verdicts = _judged(signed, id_col, text_col, bits, blocks, similarity, wide)
+    verdicts = _judged(signed, id_col, bits, blocks, similarity, wide)
     gone = verdicts.where("not kept").groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__gone"))
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
-    out = signed.drop("__lines").join(gone, "__row", "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    out = out.where(F.col("__gone").isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+
+    def left(text: pa.Array, gone: pa.Array) -> pa.Array:
+        found = []
+        for t, out in zip(text.to_pylist(), gone.to_pylist()):
+            if out:
+                out = set(out)
+                t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in out)
+            found.append(t)
+        return pa.array(found, pa.string())
+
+    left.__annotations__ = {"text": pa.Array, "gone": pa.Array, "return": pa.Array}
+    out = signed.drop("__lines").join(gone, "__row", "left").withColumn("__left", F.arrow_udf(left, "string").asNondeterministic()(F.col(text_col), F.col("__gone")))
+    lost = F.length(text_col) - F.length("__left") > most_lost * F.length(text_col)
+    out = out.where(F.col("__gone").isNull() | F.col("__left").rlike("[^\\x20\\x09-\\x0D]") & ~lost).withColumn(text_col, F.col("__left"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

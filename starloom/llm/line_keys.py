@@ -1,32 +1,40 @@
 """Keys of lines' normal forms: forms of like wording share one.
 
 Forms of up to ``TINY`` characters have their deletion variants as keys, which forms within two edits always share. Others
-have MinHash keys, each of the few smallest shingles in an order of its own: pairs of words, and for forms of few or long
-words runs of three or four characters. The kinds overlap in length, so that near forms have a kind in common.
+have MinHash keys, each of the minima of a few hash orders: over pairs of words, and for forms of few or long words over
+runs of three or four characters. The kinds overlap in length, so that near forms have a kind in common. MinHash kinds come
+with a sketch, two bits for their kind and for each of 31 minima: forms whose sketches agree in fewer than ``AGREE`` places
+are too far apart to be worth a comparison. Unrelated forms agree in some 8 places, near ones in 27 as a rule; of the pairs
+of sf0.1 documents with edit similarity of 0.8 or more, keys and sketches together find 98.9 %.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import chain, combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Longest forms with deletion variants: the longer of two forms whose shorter has 11 characters (two edits at most) has 13.
 TINY = 13
-#: (keys, shingles in a key) of word pairs, three and four characters.
-PAIRS, THREES, FOURS = (20, 3), (40, 3), (40, 4)
-_ODD = np.random.Generator(np.random.PCG64(8)).integers(1 << 62, 1 << 64, (3, 40), np.uint64) | np.uint64(1)
-_MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
+#: (keys, minima in a key) of word pairs, three and four characters.
+PAIRS, THREES, FOURS = (14, 3), (40, 5), (20, 4)
+PLACES, AGREE = 32, 20
+_ODD = np.random.Generator(np.random.PCG64(8)).integers(1 << 30, 1 << 32, 200, np.uint64).astype(np.uint32) | np.uint32(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+@dataclass(frozen=True)
+class Signs:
+    """Entries, one for each line and kind of keys: the line's number, the sketch (0: none), and how many of keys are its own, in order. The kind stands in the last two bits of a key and of a sketch."""
 
-
-_hashes = _Hashes()
+    line: np.ndarray
+    sketch: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -34,17 +42,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, base, np.uint64))])
+
+
+#: Random numbers for bytes, powers of an odd number and of its inverse modulo 2**64, for texts of up to SPAN bytes at a time.
+SPAN = 1 << 20
+_BYTES = np.random.Generator(np.random.PCG64(9)).integers(1, 1 << 64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _BACK = _powers(_BASE, SPAN), _powers(pow(_BASE, -1, 1 << 64), SPAN)
+
+
 def _word_pairs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all lines' pairs of neighbouring words, how many each line has); a lone word is paired with itself."""
-    if len(_hashes) > 1 << 16:  # bounded memory
-        _hashes.clear()
-    split = [line.split(" ") for line in lines]
-    split = [words if len(words) > 1 else words * 2 for words in split]
-    sizes = np.array([len(words) for words in split])
-    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, sizes.sum())
-    inside = np.ones(len(flat), bool)
-    inside[np.cumsum(sizes) - 1] = False
-    return _mixed(_mixed(flat) + np.append(flat[1:], flat[:1]))[inside], sizes - 1
+    """(hashes of all lines' pairs of neighbouring words, how many each line has); a lone word stands for itself.
+
+    A pair's hash is that of its bytes as a polynomial: the difference of two running sums, moved back to power zero.
+    """
+    hashes, sizes, at = [], [], 0
+    encoded = [line.encode("utf-8", "surrogatepass") for line in lines]
+    lengths = np.cumsum([len(x) + 1 for x in encoded])
+    while at < len(lines):
+        stop = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + SPAN, "right")))
+        raw = np.frombuffer(b"\n".join([*encoded[at:stop], b""]), np.uint8)
+        powers, back = (_POWERS, _BACK) if len(raw) <= SPAN else (_powers(_BASE, len(raw)), _powers(pow(_BASE, -1, 1 << 64), len(raw)))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * powers[: len(raw)])])
+        ends = np.flatnonzero((raw == 32) | (raw == 10))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        last = raw[ends] == 10  # a line's last word
+        own = np.diff(np.flatnonzero(last), prepend=-1)
+        first = ~last
+        first[np.cumsum(own)[own == 1] - 1] = True
+        stops = np.where(last, ends, np.append(ends[1:], ends[-1:]))
+        hashes.append(_mixed((sums[stops] - sums[starts])[first] * back[starts[first]]))
+        sizes.append(np.maximum(own - 1, 1))
+        at = stop
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def _runs(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,26 +93,33 @@ def _runs(lines: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
     return found[inside], sizes - length + 1
 
 
-def _minima(hashes: np.ndarray, sizes: np.ndarray, keys: int, shingles: int, kind: int) -> np.ndarray:
-    """A row of keys for each line; equal shingles of a line count once."""
-    ends = np.cumsum(sizes)
-    starts, found, first = ends - sizes, [], 0
-    while first < len(sizes):  # some 32768 shingles at a time
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 32768)))
-        own, at, n = hashes[starts[first] : ends[last - 1]], starts[first:last] - starts[first], sizes[first:last]
-        rows = np.empty((last - first, keys), np.uint64)
-        for k in range(keys):
-            order, key = own * _ODD[kind, k], np.full(len(n), 41 * kind + k, np.uint64)
-            order ^= order >> np.uint64(32)
-            for i in range(shingles):
-                least = np.minimum.reduceat(order, at)
-                key = _mixed(key + least)
-                if i + 1 < shingles:
-                    order[order == np.repeat(least, n)] = _LAST
-            rows[:, k] = key
-        found.append(rows)
+def _minima(hashes: np.ndarray, sizes: np.ndarray, orders: int) -> np.ndarray:
+    """The least of each line's shingles in each of some orders."""
+    hashes, ends = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes)
+    starts, found, first = ends - sizes, np.empty((len(sizes), orders), np.uint32), 0
+    while first < len(sizes):  # some 16384 shingles at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 16384)))
+        own, at = hashes[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
+        for k in range(orders):
+            order = own * _ODD[k]
+            order ^= order >> np.uint32(15)
+            order *= _ODD[k]
+            found[first:last, k] = np.minimum.reduceat(order, at)
         first = last
-    return np.concatenate(found).view(np.int64)
+    return found
+
+
+def _minhash(hashes: np.ndarray, sizes: np.ndarray, keys: int, rows: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches, a row of keys for each line)."""
+    low = _minima(hashes, sizes, max(PLACES, keys * rows))
+    found = np.tile(np.arange(keys, dtype=np.uint64) * np.uint64(4) + np.uint64(kind), (len(sizes), 1))
+    for i in range(rows):
+        found = _mixed(found + low[:, i : keys * rows : rows] * _MIX)
+    sketch = np.zeros(len(sizes), np.uint64)
+    for j in range(1, PLACES):
+        sketch |= (low[:, j].astype(np.uint64) >> np.uint64(9) & np.uint64(3)) << np.uint64(2 * j)
+    sketch |= np.uint64(kind)
+    return sketch.view(np.int64), found & ~np.uint64(3) | np.uint64(kind)
 
 
 def _variants(line: str) -> np.ndarray:
@@ -88,22 +127,30 @@ def _variants(line: str) -> np.ndarray:
     places = range(len(line))
     gone = chain([()], ((i,) for i in places), combinations(places, 2) if len(line) >= 8 else ())
     left = {"".join(c for i, c in enumerate(line) if i not in out) for out in gone}
-    return np.fromiter(map(xxhash.xxh64_intdigest, (f"- {x}" for x in left)), np.uint64, len(left)).view(np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, left), np.uint64, len(left)) & ~np.uint64(3)
 
 
-def keys_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of 48 bits, numbers of the lines that they belong to)."""
+def signs_of(lines: list[str]) -> Signs:
     lengths = np.array([len(line) for line in lines], np.int64)
     words = np.array([line.count(" ") + 1 for line in lines], np.int64)
     few = (words <= 12) | (lengths > 12 * words)
-    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    none = np.empty(0, np.int64)
+    parts = [(none, none, none, np.empty(0, np.uint64))]
     for i in np.flatnonzero(lengths <= TINY).tolist():
         own = _variants(lines[i])
-        parts.append((own, np.full(len(own), i)))
+        parts.append((np.array([i]), np.zeros(1, np.int64), np.array([len(own)]), own))
     kinds = ((words >= 8) & (lengths > 11), _word_pairs, PAIRS), (few & (lengths > 11) & (lengths <= 30), lambda x: _runs(x, 3), THREES), (few & (lengths >= 24), lambda x: _runs(x, 4), FOURS)
-    for kind, (chosen, shingles_of, (keys, shingles)) in enumerate(kinds):
+    for kind, (chosen, shingles_of, (keys, rows)) in enumerate(kinds, 1):
         which = np.flatnonzero(chosen)
         if len(which):
-            hashes, sizes = shingles_of([lines[i] for i in which.tolist()])
-            parts.append((_minima(hashes, sizes, keys, shingles, kind).ravel(), np.repeat(which, keys)))
-    return np.concatenate([k for k, _ in parts]) & ((1 << 48) - 1), np.concatenate([i for _, i in parts])
+            sketch, own = _minhash(*shingles_of([lines[i] for i in which.tolist()]), keys, rows, kind)
+            parts.append((which, sketch, np.full(len(which), keys), own.ravel()))
+    line, sketch, sizes, keys = (np.concatenate(x) for x in zip(*parts))
+    return Signs(line, sketch, sizes, keys.view(np.int64))
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Whether two sketches of one kind agree in enough places, or one of them is none."""
+    both = a.bitwiseXOR(b)
+    apart = F.bit_count(both.bitwiseOR(F.shiftrightunsigned(both, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return (a == 0) | (b == 0) | (apart <= PLACES - AGREE)

@@ -5,8 +5,9 @@ import string
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from starloom.llm import edit_distance, line_dedup
-from starloom.llm.line_keys import keys_of
+from starloom.llm.line_keys import signs_of
 from test_operators import groups_by_pairs
 
 SCHEMA = "doc_id long, text string"
@@ -35,9 +36,9 @@ def lines_of(rng, sizes, per_size):
 def test_candidates_against_all_pairs():
     for sizes in ((3, 4, 5), (6, 8, 9), (10, 12, 15), (20, 30, 40), (60, 100)):
         names = sorted(set(lines_of(random.Random(sizes[0]), sizes, 40)))
-        keys, lines = keys_of(names)
+        signs = signs_of(names)
         held = [set() for _ in names]
-        for k, i in zip(keys.tolist(), lines.tolist()):
+        for k, i in zip(signs.keys.tolist(), np.repeat(signs.line, signs.sizes).tolist()):
             held[i].add(k)
         pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if near(names[i], names[j])]
         assert len(pairs) > 30 and sum(bool(held[i] & held[j]) for i, j in pairs) >= 0.97 * len(pairs), sizes
