@@ -15,15 +15,22 @@ from starloom.llm.common import BLANKS, table, without
 NOISY = r"[#*$%&|<>]|!!"
 #: What a line of prose may end with.
 ENDINGS = ".!?:;…\"'”»)"
-#: Starts of lines that only lead elsewhere.
-NAVIGATION = r"(?i)^(home|menu|log ?in|sign (in|up)|next( page)?|previous( page)?|back to top|skip to|read more|share this|search)\b"
-#: Phrases of lines that belong to the site and not to the text.
-BOILERPLATE = r"(?i)(all rights reserved|licensed under|released under the|copyright|cookie|privacy policy|terms of (use|service)|subscribe to|enable javascript)"
-#: One of these stands in every match of BOILERPLATE; looking for them first is faster.
-_HINTS = ("reserved", "licensed", "released", "copyright", "cookie", "privacy", "terms of", "subscribe", "javascript")
+#: Starts of lines that only lead elsewhere, in English, German, Spanish and French; A-Z are taken in lower case.
+NAVIGATION = (
+    r"^(home|menu|log ?in|sign (in|up)|next( page)?|previous( page)?|back to top|skip to|read more|share this|search"
+    r"|startseite|anmelden|weiterlesen|zum inhalt|inicio|iniciar sesión|leer más|accueil|se connecter|lire la suite)\b"
+)
+#: Phrases of lines that belong to the site and not to the text. In a line of more than BOILERPLATE_WORDS words they are part of what it says.
+BOILERPLATE = (
+    r"\b(all rights reserved|licensed under|released under the|copyright|cookies?|privacy policy|terms of (use|service)|subscribe to|enable javascript"
+    r"|alle rechte vorbehalten|datenschutzerklärung|impressum|todos los derechos reservados|política de privacidad|tous droits réservés|mentions légales)\b"
+)
+BOILERPLATE_WORDS = 20
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 30
 _BREAK = re.compile(r"[\x20\x09-\x0D]+")
-_noisy, _navigation, _boilerplate = re.compile(NOISY), re.compile(NAVIGATION), re.compile(BOILERPLATE)
+# ASCII: word edges and cases as in SQL's regular expressions
+_noisy, _navigation, _boilerplate = re.compile(NOISY), re.compile(NAVIGATION, re.ASCII), re.compile(BOILERPLATE, re.ASCII)
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lost_chars long, base_failed boolean, kept boolean, cleaned string"
@@ -33,18 +40,19 @@ def _word_chars(text: str) -> int:
     return len(text) - sum(text.count(c) for c in BLANKS)
 
 
-def line_fails(line: str) -> bool:
-    """Whether a line with a word breaks the punctuation, navigation or boilerplate rule."""
+def line_fails(line: str, suspect: bool = True) -> bool:
+    """Whether a line with a word breaks the punctuation, navigation or boilerplate rule. suspect: whether a boilerplate phrase may be in it."""
     trimmed = line.strip(BLANKS)
-    noisy, ended, leads = _noisy.search(line), trimmed[-1] in ENDINGS, _navigation.search(trimmed)
-    if noisy or leads or not ended:
-        words = [w for w in _BREAK.split(line) if w]
-        marked = sum(1 for w in words if _noisy.search(w)) if noisy else 0
-        pipes = words.count("|")
-        if 2 * marked > len(words) or not ended and len(words) < 4 or pipes >= 3 and 10 * pipes >= 3 * len(words) or leads and len(words) <= 6:
-            return True
-    lower = line.lower()
-    return any(hint in lower for hint in _HINTS) and bool(_boilerplate.search(line))
+    noisy, ended, lower = _noisy.search(line), trimmed[-1] in ENDINGS, trimmed.translate(_LOWER)
+    leads = _navigation.search(lower)
+    if not (noisy or leads or suspect) and ended:
+        return False
+    words = [w for w in _BREAK.split(line) if w]
+    marked = sum(1 for w in words if _noisy.search(w)) if noisy else 0
+    pipes = words.count("|")
+    if 2 * marked > len(words) or not ended and len(words) < 4 or pipes >= 3 and 10 * pipes >= 3 * len(words) or leads and len(words) <= 6:
+        return True
+    return suspect and len(words) <= BOILERPLATE_WORDS and bool(_boilerplate.search(lower))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -65,13 +73,14 @@ def assess(text: str | None) -> tuple:
     lines = text.split("\n")
     seen: set[str] = set()
     duplicates, lost, kept_lines = 0, 0, []
+    suspect = bool(_boilerplate.search(text.translate(_LOWER)))  # phrases don't span lines
     for line in lines:
         if not line.strip(BLANKS):
             kept_lines.append(line)
             continue
         duplicates += line in seen
         seen.add(line)
-        if line_fails(line):
+        if line_fails(line, suspect):
             lost += _word_chars(line)
         else:
             kept_lines.append(line)
@@ -106,7 +115,10 @@ def assess_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with the failing lines removed; the columns are those of docs, n_chars follows the text."""
+    """The documents that pass, with the failing lines removed; the columns are those of docs, n_chars follows the text.
+
+    Null and empty texts fail and go. Repeated rows are judged alike and all stay; ids aren't looked at. An empty table gives no rows.
+    """
     judged = docs.withColumn("__line_rules", _assess(F.col(text_col))).where("__line_rules.kept")
     changed = judged.withColumn(text_col, F.col("__line_rules.cleaned"))
     if "n_chars" in docs.columns:
@@ -130,9 +142,9 @@ ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subs
 lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS nth FROM ls),
 lf AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda x: regexp_matches(x, '{NOISY}'))) AS noisy, len(list_filter(ws, lambda x: x = '|')) AS pipes,
     right(ws[len(ws)], 1) AS last, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), '') AS solid,
-    regexp_replace(line, '^[\x20\x09-\x0D]+', '') AS trimmed FROM lw WHERE len(ws) > 0),
+    translate(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_line FROM lw WHERE len(ws) > 0),
 lj AS (SELECT doc_id, nth, length(solid) AS chars, 2 * noisy > n OR (strpos('{ENDINGS.replace("'", "''")}', last) = 0 AND n < 4) OR (pipes >= 3 AND 10 * pipes >= 3 * n)
-    OR (n <= 6 AND regexp_matches(trimmed, '{NAVIGATION}')) OR regexp_matches(line, '{BOILERPLATE}') AS fails FROM lf),
+    OR (n <= 6 AND regexp_matches(lower_line, '{NAVIGATION}')) OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(lower_line, '{BOILERPLATE}')) AS fails FROM lf),
 la AS (SELECT doc_id, sum((nth > 1)::BIGINT)::BIGINT AS n_dup_lines, sum(CASE WHEN fails THEN chars ELSE 0 END)::BIGINT AS lost_chars FROM lj GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
