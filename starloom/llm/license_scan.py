@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import table, without
+from starloom.llm.licence_texts import WHOLE
 
 SHINGLE, CONTAINMENT, BANDS, SEED = 5, 0.8, 64, 42
 #: Shingles that are hashed at a time.
@@ -42,7 +43,7 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "All rights reserved": "All rights reserved",
-}
+} | WHOLE
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -64,6 +65,7 @@ class Scanner:
         self.b = rng.integers(0, 1 << 32, (bands, 1), dtype=np.uint32)
         self.hashes: dict[str, int] = {}
         self.classes: dict[int, dict[int, list]] = {}
+        self.bands: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for name, text in templates.items():
             words = words_of(text)
             if not words:
@@ -73,6 +75,12 @@ class Scanner:
             c = 1 << (len(words) - k).bit_length()
             signature = (self.shingle_hashes(words, k) * self.a + self.b).min(axis=1)
             self.classes.setdefault(k, {}).setdefault(c, []).append((name, own, signature))
+        for k, classes in self.classes.items():
+            for c, found in classes.items():
+                # band by band, the templates' minima in order, and whose they are
+                signatures = np.stack([signature for _, _, signature in found], axis=1)
+                order = np.argsort(signatures, axis=1, kind="stable")
+                self.bands[k, c] = list(zip(np.take_along_axis(signatures, order, axis=1), order))
 
     def shingle_hashes(self, words: list[str], k: int) -> np.ndarray:
         known = self.hashes
@@ -111,6 +119,18 @@ class Scanner:
     def _double(low: np.ndarray, apart: int) -> np.ndarray:
         return np.minimum(low[:, :-apart], low[:, apart:])[:, ::2]
 
+    def candidates(self, k: int, c: int, low: np.ndarray) -> set[tuple[int, int]]:
+        """(template, window) that agree in a band: the windows' minima are looked up in the bands' tables."""
+        found: set[tuple[int, int]] = set()
+        for minima, (table, whose) in zip(low, self.bands[k, c]):
+            at = np.searchsorted(table, minima)
+            hits = np.flatnonzero(table[np.minimum(at, len(table) - 1)] == minima)
+            for w, i in zip(hits.tolist(), at[hits].tolist()):
+                while i < len(table) and table[i] == minima[w]:
+                    found.add((int(whose[i]), w))
+                    i += 1
+        return found
+
     def find(self, text: str | None) -> list[tuple[str, int, float]]:
         """(template, first word of the window, containment) of the best window of each template found, the first of equals."""
         words = words_of(text)
@@ -121,12 +141,12 @@ class Scanner:
             hashes = self.shingle_hashes(words, k)
             for c, first, low in self.windows(hashes, classes):
                 step = max(1, c // 2)
-                for name, own, signature in classes[c]:
-                    for w in np.flatnonzero((low == signature[:, None]).any(axis=0)).tolist():
-                        at = (first + w) * step
-                        share = len(own & shingles(words[at : at + max(4, 2 * c) + k - 1], k)) / len(own)
-                        if share >= self.containment and share > best.get(name, (0.0, 0))[0]:
-                            best[name] = share, at
+                for number, w in sorted(self.candidates(k, c, low)):
+                    name, own, _ = classes[c][number]
+                    at = (first + w) * step
+                    share = len(own & shingles(words[at : at + max(4, 2 * c) + k - 1], k)) / len(own)
+                    if share >= self.containment and share > best.get(name, (0.0, 0))[0]:
+                        best[name] = share, at
         return [(name, at, share) for name, (share, at) in sorted(best.items())]
 
 
@@ -152,7 +172,8 @@ def scan_documents(docs: DataFrame, text_col: str = "text", templates: dict[str,
         return pd.Series([[{"template": n, "first_word": at, "containment": s} for n, at, s in scanner.find(t)] for t in texts])
 
     of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    found = F.pandas_udf(of, "array<struct<template string, first_word int, containment double>>")(F.col(text_col))
+    # not deterministic, so that the filter on the result doesn't run it a second time
+    found = F.pandas_udf(of, "array<struct<template string, first_word int, containment double>>").asNondeterministic()(F.col(text_col))
     return rest.withColumn("__found", found).where(F.size("__found") > 0).select(*rest.columns, F.explode("__found").alias("__one")).select(*rest.columns, *[F.col(f"__one.{n}").alias(n) for n in names])
 
 

@@ -236,6 +236,8 @@ def test_quality_rules_against_sql(spark, docs, empty):
     rng = random.Random(8)
     page = prose(rng, 150)
     more = [page + "\nHome | About | Contact | Login", page + "\nAll rights reserved.", "x" * 50 + "\n" + "a b c d " * 40, page.replace("\n", "\n\n\n"), " ".join(page.split()[:40]) + " ### ### ### $$$ *** &&&", page + "\n" + page, "Sign in\n" + page + "\nThe\nnext page\x85x"]
+    more.append(page + "\nCopyright 2020 by us\nmenué of the day\nſubscribe to our letter\nAlle Rechte vorbehalten\nPolítica de privacidad")
+    more.append("She said that a cookie and the copyright of an old song were all that her aunt had ever left her. " + page.replace("\n", " "))
     frame = spark.createDataFrame([tuple(r) for r in rows] + [(900 + i, t, "en", "s", 1) for i, t in enumerate(more)], SCHEMA).withColumnRenamed("lang", "kept")
     found = quality_rules.assess_documents(frame)
     documents = pa.table({"doc_id": pa.array([r[0] for r in frame.collect()]), "text": pa.array([r[1] for r in frame.collect()], pa.string())})
@@ -246,6 +248,7 @@ def test_quality_rules_against_sql(spark, docs, empty):
     assert [tuple(r) for r in found.select(columns).orderBy("doc_id").collect()] == expected
     cleaned = {r.doc_id: r for r in quality_rules.clean_documents(docs.unionByName(frame.withColumnRenamed("kept", "lang"))).collect()}
     assert "Login" not in cleaned[900].text and "reserved" not in cleaned[901].text and cleaned[900].n_chars == len(cleaned[900].text) and 902 not in cleaned
+    assert cleaned[908].text == more[8] and cleaned[907].text.endswith(".\nſubscribe to our letter")  # a long clean paragraph that mentions a cookie stays
     assert quality_rules.assess_documents(empty).count() == 0 and quality_rules.clean_documents(empty).count() == 0
 
 
@@ -351,8 +354,12 @@ def test_license_scan(spark, docs, empty, texts, monkeypatch):
                             best[name] = share, at
         return [(n, at, s) for n, (s, at) in sorted(best.items())]
 
-    for t in [*planted, *[t for t in texts if len(t or "") < 5000]]:
+    whole = license_scan.TEMPLATES["BSD-3-Clause text"].split()
+    edited = [" ".join(w for i, w in enumerate(whole) if i % 60), prose(rng, 700) + "\n" + " ".join(whole) + "\n" + prose(rng, 300), " ".join(w for i, w in enumerate(whole) if i % 9)]
+    for t in [*planted, *edited, *texts]:
         assert scanner.find(t) == plain(t)
+    names = [{n for n, _, _ in scanner.find(t)} for t in edited]
+    assert "BSD-3-Clause text" in names[0] and "BSD-3-Clause text" in names[1] and "BSD-3-Clause text" not in names[2]  # the last keeps too few shingles
     frame = docs.unionByName(spark.createDataFrame([(800 + i, t, "en", "s", 1) for i, t in enumerate(planted)], SCHEMA)).withColumnRenamed("lang", "template")
     found = license_scan.scan_documents(frame)
     assert sorted((r.doc_id, r.template) for r in found.collect()) == [(800, "MIT"), (801, "Apache-2.0 warranty"), (802, "All rights reserved"), (803, "CC-BY-SA-4.0")]
