@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pyarrow as pa
 from starloom.llm.quote_links import OP1_SQL, link_quotations
@@ -47,6 +49,58 @@ def test_against_sql_and_by_hand(spark):
             assert by[r.conv_id, r.parent_turn].position < r.position
 
 
+def against_sql(spark, rows):
+    found = link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()
+    conversations = pa.table({n: pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.string()) for i, n in enumerate(("conv_id", "turn", "role", "text"))})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    expected = con.sql(f"SELECT {', '.join(found[0].asDict())} FROM ({OP1_SQL})").fetchall()
+    assert rows_of(found) == rows_of(expected)
+    return {(r.conv_id, r.turn): r for r in found}
+
+
+def test_the_message_that_was_quoted_is_found(spark):
+    rows = [
+        (1, 1, "u", "Hi all\nRegards"), (1, 3, "u", "Hi all\nanswer\nRegards"), (1, 4, "u", "> Hi all\n> answer\n> Regards\nyes"),  # not the first that greets
+        (1, 5, "u", "> Hi all\n> Regards\nlate"),  # the whole block is turn 1's
+        (1, 6, "u", "> Hi all\n> [...]\n> answer\nok"),  # most lines are turn 3's
+        (2, 5, "u", "a passage"), (2, 3, "u", "> a passage\nwhence?"), (3, 1, "u", "a passage"),  # its own conversation has it only later
+        (4, 0, "u", "first\nsecond"), (4, 1, "u", "first\nsecond"), (4, 2, "u", "> first\n> second\nwhich?"),  # the nearest of equals
+    ]
+    by = against_sql(spark, rows)
+    assert [by[1, t].parent_turn for t in (4, 5, 6)] == [3, 1, 3] and (by[2, 3].source_conv, by[2, 3].source_turn) == (3, 1) and by[4, 2].parent_turn == 1
+
+
+def test_many_generated_messages(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for conv in range(60):
+        said = []
+        for turn in range(30):
+            lines = [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 4))] + rng.choice([[], ["Hi all"], ["Regards"]])
+            text = list(lines)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if said:
+                    depth, whose = rng.randint(1, 3), rng.choice(said if rng.random() < 0.9 else [["nobody said", "this"]])
+                    part = whose if rng.random() < 0.6 else rng.sample(whose, rng.randint(1, len(whose)))
+                    if rng.random() < 0.3:  # re-wrapped
+                        part = [" ".join(part)]
+                    text = rng.choice([["On Monday, A wrote:"], []]) + ["> " * depth + x.upper() + rng.choice(["", "!"]) for x in part] + text
+            said.append(lines)
+            rows.append((conv, turn, rng.choice(["u", "a", None]), "\n".join(text)))
+    rows += rng.sample(rows, 20) + [(None, 1, "u", "> Hi all"), (5, None, "u", "> Regards\nx"), (5, 3, "u", None), (5, 3, "u", "x" * 50_000 + "\n> Hi all\n" + "\n".join(f"{'>' * (i % 5)} w{i}" for i in range(3000)))]
+    by = against_sql(spark, rows)
+    assert sum(r.parent_turn is not None for r in by.values()) > 300
+
+
+def test_one_long_thread(spark):
+    rows = spark.range(100_000).selectExpr("1L AS conv_id", "id AS turn", "'u' AS role", "if(id = 0, 'the root', concat('> the root\n', 'reply ', id)) AS text")
+    found = link_quotations(rows)
+    summary = found.selectExpr("count(*)", "count(distinct position)", "max(position)", "max(depth)", "sum(int(parent_turn = 0))").first()
+    assert tuple(summary) == (100_000, 100_000, 100_000, 1, 99_999)
+
+
 def test_empty_table_and_other_columns(spark):
     empty = spark.createDataFrame([], SCHEMA + ", body string, position long")
     assert link_quotations(empty).count() == 0
