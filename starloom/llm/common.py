@@ -32,11 +32,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, and any executor can be lost later."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder (in a folder for each value of the column by, its last) and read it back: lineage ends here, and any executor can be lost later."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path, partitionBy=by)
     found = spark.read.schema(df.schema).parquet(path)
     found._shared_path = path
     return found

@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from starloom.llm.common import id_remainder, materialise, table
 
 STATES, FREQUENT, RARE, SEED = 8, 56_000, 8192, 42
-#: Symbols: frequent words, then rare ones, then the end. They fit 16 bits.
-END, SYMBOLS = FREQUENT + RARE, FREQUENT + RARE + 1
-#: Baum-Welch passes over all training texts; texts and passes of the warm start; tokens of a training window.
-PASSES, WARM_TEXTS, WARM_PASSES, WINDOW = 2, 600, 15, 512
+#: Baum-Welch passes over all training texts; parts that the texts are in for the stepwise pass before; tokens of a training window.
+PASSES, PARTS, WINDOW = 2, 16, 512
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,8 +69,8 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 class Counts:
     """Expected counts of one or many texts under a model."""
 
-    def __init__(self, states: int):
-        self.start, self.inner, self.move, self.emit = np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
+    def __init__(self, states: int, symbols: int):
+        self.start, self.inner, self.move, self.emit = np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
 
     def add(self, model: Model, windows: list[np.ndarray], first: np.ndarray) -> None:
         """Forward and backward over windows; first tells which of them begin a text."""
@@ -98,7 +96,14 @@ class Counts:
         self.start += gammas[begin[first]].sum(axis=0)
         self.inner += gammas[begin[~first]].sum(axis=0)
         for k in range(states):
-            self.emit[:, k] += np.bincount(flat, gammas[:, k], SYMBOLS)
+            self.emit[:, k] += np.bincount(flat, gammas[:, k], len(self.emit))
+
+    def blended(self, other: Counts, rate: float) -> Counts:
+        """(1 - rate) of these counts and rate of the others."""
+        out = Counts(len(self.start), len(self.emit))
+        for name in ("start", "inner", "move", "emit"):
+            setattr(out, name, (1 - rate) * getattr(self, name) + rate * getattr(other, name))
+        return out
 
     def model(self, unigram: np.ndarray) -> Model:
         rows = lambda m: (m + 0.1) / (m + 0.1).sum(axis=-1, keepdims=True)
@@ -113,7 +118,7 @@ def windows_of(codes: np.ndarray) -> list[np.ndarray]:
 
 def expected(model: Model, texts) -> Counts:
     """Counts of all windows of texts (symbol arrays), some thousand windows at a time."""
-    counts, own, first, tokens = Counts(len(model.start)), [], [], 0
+    counts, own, first, tokens = Counts(len(model.start), len(model.emit)), [], [], 0
     for codes in texts:
         parts = windows_of(codes)
         own += parts
@@ -127,24 +132,35 @@ def expected(model: Model, texts) -> Counts:
     return counts
 
 
-def warm_start(texts: list[np.ndarray], unigram: np.ndarray, states: int, seed: int) -> Model:
-    """A first model from a few texts: states that tend to stay, told apart by noise on the unigram."""
+def first_model(unigram: np.ndarray, states: int, seed: int) -> Model:
+    """States that tend to stay, told apart by noise on the unigram."""
     rng = np.random.Generator(np.random.PCG64(seed))
     even = np.full(states, 1 / states)
     move = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
-    emit = unigram[:, None] * np.exp(0.5 * rng.standard_normal((SYMBOLS, states)))
-    model = Model(even, even, move, emit / emit.sum(axis=0))
-    for _ in range(WARM_PASSES if texts else 0):
-        model = expected(model, texts).model(unigram)
+    emit = unigram[:, None] * np.exp(0.5 * rng.standard_normal((len(unigram), states)))
+    return Model(even, even, move, emit / emit.sum(axis=0))
+
+
+def train(training: DataFrame, unigram: np.ndarray, states: int, passes: int, seed: int) -> Model:
+    """Stepwise Baum-Welch: a first pass goes through all texts (columns codes, part) part by part, and each part's counts, which stand for the whole, move the model a little less than those before; then come full passes. Every text counts alike, whole, in windows."""
+    model, total = first_model(unigram, states, seed), None
+    for part in range(PARTS):
+        own = _tallied(training.where(F.col("part") == part), model)
+        own = own.blended(Counts(states, len(unigram)), 1 - PARTS)  # PARTS times as much
+        total = own if total is None else total.blended(own, (part + 2) ** -0.7)
+        model = total.model(unigram)
+    for _ in range(passes):
+        model = _tallied(training, model).model(unigram)
     return model
 
 
 class Symbols:
     """Words to symbols; with the unigram's log10 for those that have symbols of their own."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.known = {w: i for i, w in enumerate(frequent)}
+    def __init__(self, frequent: list[bytes], room: int, rare: int):
+        """room: symbols that frequent words may have, of which the list may use fewer; rare: symbols of all other words; the end comes last."""
+        self.known, self.room, self.rare = {w: i for i, w in enumerate(frequent)}, room, rare
 
     def of(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """(symbols of all tokens, the words without a symbol of their own)."""
@@ -154,8 +170,8 @@ class Symbols:
             for i, c in enumerate(codes):
                 if c < 0:
                     rare.append(words[i])
-                    codes[i] = FREQUENT + crc32(words[i]) % RARE
-        return np.array([*codes, END], np.uint16), rare
+                    codes[i] = self.room + crc32(words[i]) % self.rare
+        return np.array([*codes, self.room + self.rare], np.uint16), rare
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -178,15 +194,20 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, states: int = STATES, passes: int = PASSES, seed: int = SEED) -> DataFrame:
+def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, states: int = STATES, passes: int = PASSES, seed: int = SEED, frequent_words: int = FREQUENT, rare_classes: int = RARE) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each row of docs.
 
-    Counts of all words, and Baum-Welch counts of all tokens, come from every text outside the held-out fold; only the first
-    guess of the model uses some texts. Training runs over windows of 512 tokens; scores are of whole texts. Null texts
+    Counts of all words, and Baum-Welch counts of all tokens, come from every text outside the held-out fold, whole. Training
+    runs over windows of 512 tokens; scores are of whole texts. Null texts
     count as empty: the end alone. Null ids fall into the fold of the empty text. Repeated rows count and are scored each.
+    The ``frequent_words`` commonest training words have emissions of their own, all others share those of ``rare_classes``
+    classes (65,535 in all at most); each word of a class has its share of the class by a count of its own.
     Without training texts, N and V are 0 and every token is unknown. Only the two named columns are read; an empty table
     gives no rows.
     """
+    end = frequent_words + rare_classes
+    if rare_classes < 1 or end > 65_535:
+        raise ValueError("there must be a rare class, and symbols of 16 bits")
     spark = docs.sparkSession
     held_out = (id_remainder(F.col(id_col), folds) == held_out_fold).alias("held_out")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out)
@@ -196,29 +217,29 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n, v = n_words + texts, distinct + (texts > 0)
     whole = float(n + v + 1)
 
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # bounded: the model's own words
+    top = vocabulary.orderBy(F.desc("c"), "word").limit(frequent_words).collect()  # bounded: the model's own words
     frequent = [bytes(r.word) for r in top]
-    tokens, kinds = np.zeros(RARE), np.zeros(RARE)  # of each rare symbol
-    for r in vocabulary.groupBy(F.pmod(F.crc32("word"), F.lit(RARE)).alias("symbol")).agg(F.sum("c"), F.count("*")).collect():
+    tokens, kinds = np.zeros(rare_classes), np.zeros(rare_classes)  # of each rare symbol
+    for r in vocabulary.groupBy(F.pmod(F.crc32("word"), F.lit(rare_classes)).alias("symbol")).agg(F.sum("c"), F.count("*")).collect():
         tokens[r[0]], kinds[r[0]] = r[1], r[2]
     for r in top:
-        tokens[crc32(r.word) % RARE] -= r.c
-        kinds[crc32(r.word) % RARE] -= 1
+        tokens[crc32(r.word) % rare_classes] -= r.c
+        kinds[crc32(r.word) % rare_classes] -= 1
     once, twice = vocabulary.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     unknown_log = np.log10(np.where(kinds > 0, discount * kinds, 1.0))
-    unigram = np.zeros(SYMBOLS)
+    unigram = np.zeros(end + 1)
     unigram[: len(top)] = [r.c for r in top]
-    unigram[FREQUENT:END] = tokens + 1
-    unigram[END] = texts + 1
+    unigram[frequent_words:end] = tokens + 1
+    unigram[end] = texts + 1
     unigram /= unigram.sum()
-    own_log = np.zeros(SYMBOLS)  # log10 p0 of symbols that are one token
+    own_log = np.zeros(end + 1)  # log10 p0 of symbols that are one token
     own_log[: len(top)] = np.log10((np.array([r.c for r in top]) + 1) / whole)
-    own_log[END] = np.log10((texts + 1) / whole)
+    own_log[end] = np.log10((texts + 1) / whole)
     shared_words = spark.sparkContext.broadcast(frequent)
 
     def encode(batches):
-        symbols = Symbols(shared_words.value)
+        symbols = Symbols(shared_words.value, frequent_words, rare_classes)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
@@ -231,24 +252,21 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     id_type = docs.schema[id_col].dataType.simpleString()
     encoded = rows.mapInArrow(encode, f"id {id_type}, held_out boolean, codes binary, rare binary, n_tokens long, known long, base double")
-    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    training = encoded.where("not held_out")
-
-    some = training.orderBy(F.xxhash64("row")).limit(WARM_TEXTS).select("codes").collect()
-    model = warm_start([w for r in some for w in windows_of(np.frombuffer(r.codes, np.uint16))[:4]], unigram, states, seed)
-    for _ in range(passes if texts else 0):
-        model = _pass(training, model, unigram)
+    # parts by what a row says, not by where it stands: the model doesn't change with the files' layout
+    encoded = encoded.withColumns({"row": F.monotonically_increasing_id(), "part": F.pmod(F.xxhash64("id", "codes"), F.lit(PARTS)).cast("int")})
+    encoded = materialise(encoded, "encoded", by="part")
+    model = train(encoded.where("not held_out"), unigram, states, passes, seed) if texts else first_model(unigram, states, seed)
 
     # words without symbols of their own: their counts come by a join, however many words there are
     rare = encoded.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
     seen = rare.join(vocabulary.select(F.col("word").cast("string").alias("word"), "c"), "word", "left")
-    # a row for each rare symbol: RARE rows, whatever the input
+    # a row for each rare symbol: rare_classes rows, whatever the input
     symbols = F.broadcast(spark.createDataFrame(list(enumerate(unknown_log.tolist())), "symbol long, unknown_log double"))
-    seen = seen.withColumn("symbol", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(RARE))).join(symbols, "symbol")
+    seen = seen.withColumn("symbol", F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(rare_classes))).join(symbols, "symbol")
     inside = F.coalesce(F.log10(F.col("c") - discount), F.col("unknown_log"))
     looked_up = seen.groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(whole))).alias("rare_base"), F.count("c").alias("rare_known"), F.sum(inside).alias("inside"))
-    rare_log = np.zeros(SYMBOLS)
-    rare_log[FREQUENT:END] = np.log10(np.maximum(tokens, 1))
+    rare_log = np.zeros(end + 1)
+    rare_log[frequent_words:end] = np.log10(np.maximum(tokens, 1))
     shared = spark.sparkContext.broadcast((model, rare_log))
 
     def forward(batches):
@@ -280,9 +298,9 @@ def _groups(batches, most: int = 1 << 22):
         yield rows, codes
 
 
-def _pass(training: DataFrame, model: Model, unigram: np.ndarray) -> Model:
-    """One Baum-Welch pass: a task adds up its texts' counts, rows of counts are summed by symbol, and the bounded sums make the next model."""
-    spark, states = training.sparkSession, len(model.start)
+def _tallied(training: DataFrame, model: Model) -> Counts:
+    """Expected counts of all texts under a model: a task adds up its texts' counts, and rows of counts are summed by symbol. The sums are bounded by the number of symbols."""
+    spark, states, symbols = training.sparkSession, len(model.start), len(model.emit)
     shared = spark.sparkContext.broadcast(model)
 
     def tally(batches):
@@ -290,18 +308,18 @@ def _pass(training: DataFrame, model: Model, unigram: np.ndarray) -> Model:
         counts = expected(shared.value, texts)
         used = np.flatnonzero(counts.emit.any(axis=1))
         table = np.concatenate([counts.emit[used], counts.move, counts.start[None], counts.inner[None]])
-        symbol = np.concatenate([used, SYMBOLS + np.arange(states + 2)])
+        symbol = np.concatenate([used, symbols + np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(symbol, pa.int32()), *(pa.array(table[:, k], pa.float64()) for k in range(states))], names=["symbol"] + [f"s{k}" for k in range(states)])
 
     fields = [f"s{k}" for k in range(states)]
     sums = training.select("codes").mapInArrow(tally, "symbol int, " + ", ".join(f"{f} double" for f in fields))
-    sums = sums.groupBy("symbol").agg(*[F.sum(f).alias(f) for f in fields]).collect()
-    total = np.zeros((SYMBOLS + states + 2, states))
-    for r in sums:
-        total[r[0]] = r[1:]
-    counts = Counts(states)
-    counts.emit, counts.move, counts.start, counts.inner = total[:SYMBOLS], total[SYMBOLS : SYMBOLS + states], total[-2], total[-1]
-    return counts.model(unigram)
+    sums = sums.groupBy("symbol").agg(*[F.sum(f).alias(f) for f in fields]).toArrow()
+    shared.destroy()
+    total = np.zeros((symbols + states + 2, states))
+    total[sums["symbol"].to_numpy()] = np.stack([sums[f].to_numpy() for f in fields], axis=1)
+    counts = Counts(states, symbols)
+    counts.emit, counts.move, counts.start, counts.inner = total[:symbols], total[symbols : symbols + states], total[-2], total[-1]
+    return counts
 
 
 def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ SCHEMA = "doc_id long, text string, score double"
 
 def small_model(states, symbols, seed=0):
     rng = np.random.default_rng(seed)
-    emit = np.zeros((hmm_lm.SYMBOLS, states))
+    emit = np.zeros((50, states))
     emit[:symbols] = rng.random((symbols, states))
     rows = lambda m: m / m.sum(axis=-1, keepdims=True)
     return hmm_lm.Model(rows(rng.random(states)), rows(rng.random(states)), rows(rng.random((states, states))), emit / emit.sum(axis=0))
@@ -45,7 +45,7 @@ def test_counts_are_those_of_all_paths():
     rng = np.random.default_rng(2)
     windows = [rng.integers(0, 4, n).astype(np.uint16) for n in (3, 5, 1, 4)]
     first = np.array([True, False, True, False])
-    counts = hmm_lm.Counts(3)
+    counts = hmm_lm.Counts(3, 50)
     counts.add(model, windows, first)
     start, inner, move, emit = np.zeros(3), np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
     for codes, begins in zip(windows, first):
@@ -87,6 +87,44 @@ def test_scores(spark):
     assert hmm_lm.hmm_scores(frame.limit(0)).count() == 0
 
 
+def test_scores_against_a_plain_recursion(spark, monkeypatch):
+    """The end-to-end formula: symbols of their own, rare classes with a discount, unknown words."""
+    rng = random.Random(4)
+    models, train = [], hmm_lm.train
+    monkeypatch.setattr(hmm_lm, "train", lambda *a: models.append(train(*a)) or models[-1])
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.choice([1, 1, 2]) for _ in range(rng.randint(1, 30))) for _ in range(60)] + [None, "never seen before a"]
+    rows = [(i, t, 0.0) for i, t in enumerate(texts)]
+    found = {r.doc_id: r for r in hmm_lm.hmm_scores(spark.createDataFrame(rows, SCHEMA), states=3, frequent_words=12, rare_classes=5).collect()}
+    (model,) = models
+    counts = Counter(w for i, t, _ in rows if not found[i].held_out for w in hmm_lm.words_of(t))
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[:12]
+    rare = [Counter({w: c for w, c in counts.items() if w not in frequent and crc32(w) % 5 == k}) for k in range(5)]
+    once, twice = (sum(c == n for c in counts.values()) for n in (1, 2))
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    for i, t, _ in rows:
+        symbols, inside = [], 0.0
+        for w in hmm_lm.words_of(t):
+            if w in frequent:
+                symbols.append(frequent.index(w))
+                continue
+            own = rare[crc32(w) % 5]
+            symbols.append(12 + crc32(w) % 5)
+            share = own[w] - discount if w in own else discount * len(own) if own else 1.0
+            inside += math.log10(share / max(1, sum(own.values())))
+        alpha = model.start * model.emit[symbols[0]] if symbols else model.start * model.emit[17]
+        for s in [*symbols[1:], 17] if symbols else []:
+            alpha = (alpha @ model.move) * model.emit[s]
+        assert found[i].score == pytest.approx(math.log10(alpha.sum()) + inside), t
+
+
+def test_the_model_does_not_change_with_the_files(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(20)), 0.0) for i in range(100)]
+    one = {r.doc_id: r.score for r in hmm_lm.hmm_scores(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    other = {r.doc_id: r.score for r in hmm_lm.hmm_scores(spark.createDataFrame(rows[::-1], SCHEMA).repartition(5)).collect()}
+    assert all(one[i] == pytest.approx(other[i]) for i in one)
+
+
 def texts_long(rng):
     return " ".join(rng.choice(["a1", "a2", "b3"]) for _ in range(5000))
 
