@@ -35,3 +35,17 @@ def test_stages(spark, tmp_path):
 def test_registry():
     assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == sorted(queries.QUERIES, key=lambda n: int(n[2 : n.index("_")])) and len(queries.QUERIES) == 10
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_empty_and_repeated_rows_and_other_columns(spark, tmp_path):
+    rng = random.Random(12)
+    page = prose(rng, 120)
+    rows = [(0, page, "en", "s", 1, "a"), (0, page, "en", "s", 1, "a"), (None, prose(rng, 120), None, None, None, None), (3, prose(rng, 130), "en", "s", 1, "b")]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, SCHEMA + ", size string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in found) == [-1, 0, 3]
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
