@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of near copies stays; documents left without a word go."""
-    return dedup_lines(docs, min_words=1, wide=True)
+    """One line of each group of near copies stays; documents left without a word go, and what is left of documents that were copies for over four fifths."""
+    return dedup_lines(docs, min_words=1, wide=True, most_lost=0.8)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows go to the shared folder."""
+    """All stages over documents; each stage's rows go to the shared folder.
+
+    Null and empty texts fail the quality rules and go; of repeated rows one stays. Columns besides the five of documents
+    pass through to the last stage, whatever their names. An empty table of documents gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, name.replace(" ", "-"))
