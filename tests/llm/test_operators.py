@@ -231,6 +231,20 @@ def test_genetic_packing_is_as_good_as_best_fit(spark):
     assert len(rows) == 900 and check_sequences(rows, 100) <= 1.06 * sum(r.length for r in rows) / 100
 
 
+def test_genetic_packing_beats_best_fit():
+    """Threes of items that fill a bin exactly: 40 bins suffice, best-fit decreasing takes 45 or more."""
+    for seed in range(3):
+        rng, lengths = np.random.default_rng(seed), []
+        for _ in range(40):
+            a = int(rng.integers(26, 49))
+            b = int(rng.integers(26, 75 - a))
+            lengths += [a, b, 100 - a - b]
+        lengths = np.sort(np.array(lengths))[::-1].astype(np.int64)
+        plain = packing.fitness(lengths, packing.pack(lengths, range(len(lengths)), 100), 100)[0]
+        best = packing.evolve(lengths, [], 100, 6, 40, np.random.default_rng(1))[0]
+        assert np.bincount(best, weights=lengths).max() <= 100 and 40 <= packing.fitness(lengths, best, 100)[0] < plain
+
+
 def test_quality_rules_against_sql(spark, docs, empty):
     rows = [r for r in docs.collect() if r.doc_id not in (None, 7)]
     rng = random.Random(8)
