@@ -65,7 +65,7 @@ class Scanner:
         self.b = rng.integers(0, 1 << 32, (bands, 1), dtype=np.uint32)
         self.hashes: dict[str, int] = {}
         self.classes: dict[int, dict[int, list]] = {}
-        self.bands: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.bands: dict[tuple[int, int], tuple[dict[tuple[int, int], list[int]], np.ndarray]] = {}
         for name, text in templates.items():
             words = words_of(text)
             if not words:
@@ -77,10 +77,16 @@ class Scanner:
             self.classes.setdefault(k, {}).setdefault(c, []).append((name, own, signature))
         for k, classes in self.classes.items():
             for c, found in classes.items():
-                # band by band, the templates' minima in order, and whose they are
-                signatures = np.stack([signature for _, _, signature in found], axis=1)
-                order = np.argsort(signatures, axis=1, kind="stable")
-                self.bands[k, c] = list(zip(np.take_along_axis(signatures, order, axis=1), order))
+                table, sieve = {}, np.zeros(1 << 18, bool)
+                for number, (_, _, signature) in enumerate(found):
+                    sieve[self._slots(signature)] = True
+                    for band, least in enumerate(signature.tolist()):
+                        table.setdefault((band, least), []).append(number)
+                self.bands[k, c] = table, sieve
+
+    @staticmethod
+    def _slots(minima: np.ndarray) -> np.ndarray:
+        return minima * np.uint32(0x9E3779B1) >> np.uint32(14)
 
     def shingle_hashes(self, words: list[str], k: int) -> np.ndarray:
         known = self.hashes
@@ -121,14 +127,11 @@ class Scanner:
 
     def candidates(self, k: int, c: int, low: np.ndarray) -> set[tuple[int, int]]:
         """(template, window) that agree in a band: the windows' minima are looked up in the bands' tables."""
+        table, sieve = self.bands[k, c]
+        bands, windows = np.nonzero(sieve[self._slots(low)])  # few others get past the sieve
         found: set[tuple[int, int]] = set()
-        for minima, (table, whose) in zip(low, self.bands[k, c]):
-            at = np.searchsorted(table, minima)
-            hits = np.flatnonzero(table[np.minimum(at, len(table) - 1)] == minima)
-            for w, i in zip(hits.tolist(), at[hits].tolist()):
-                while i < len(table) and table[i] == minima[w]:
-                    found.add((int(whose[i]), w))
-                    i += 1
+        for band, w, least in zip(bands.tolist(), windows.tolist(), low[bands, windows].tolist()):
+            found.update((number, w) for number in table.get((band, least), ()))
         return found
 
     def find(self, text: str | None) -> list[tuple[str, int, float]]:
