@@ -128,7 +128,7 @@ class Scanner:
     def candidates(self, k: int, c: int, low: np.ndarray) -> set[tuple[int, int]]:
         """(template, window) that agree in a band: the windows' minima are looked up in the bands' tables."""
         table, sieve = self.bands[k, c]
-        bands, windows = np.nonzero(sieve[self._slots(low)])  # few others get past the sieve
+        bands, windows = divmod(np.flatnonzero(sieve.take(self._slots(low), mode="wrap")), low.shape[1])  # few others get past the sieve
         found: set[tuple[int, int]] = set()
         for band, w, least in zip(bands.tolist(), windows.tolist(), low[bands, windows].tolist()):
             found.update((number, w) for number in table.get((band, least), ()))
