@@ -1,4 +1,4 @@
-"""Myers' bit-parallel edit distance: on Python's unbounded integers, and on many pairs side by side in 64-bit blocks."""
+"""Myers' bit-parallel edit distance: on Python's unbounded integers, and on all 64-bit blocks of many pairs side by side."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 
-_ONE, _ALL = np.uint64(1), np.uint64(2**64 - 1)
-#: Sizes, in blocks of 64 characters, for which pairs are gathered and compared side by side; so many at a time.
-BLOCKS, ABREAST = (1, 2, 3, 4, 6, 8, 11, 14, 18, 24), 4096
+_ONE, _TOP, _ALL = np.uint64(1), np.uint64(63), np.uint64(2**64 - 1)
+#: Blocks of 64 characters that are compared side by side, those of one pair at most, and places in their tables of characters: 32 MB.
+LANES, LONGEST, PLACES = 8192, 512, 1 << 22
+#: Texts from here on are first compared word by word, which is quicker than a block for each 64 characters.
+WORDWISE = 640
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -94,73 +96,100 @@ def _bound(a: list[str], b: list[str], most: int) -> int:
     return cost
 
 
-def _quick(a: str, b: str, most: int) -> bool | None:
-    """Whether the distance is at most ``most``, where that shows without a look at the letters."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    if max(map(len, _middles(a, b))) <= most or _bound(a.split(" "), b.split(" "), most) <= most:
-        return True
-    return None
-
-
-def distances(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
-    """Levenshtein distances of pairs; the first text of each has 1 to 64 * blocks characters."""
-    order = sorted(range(len(pairs)), key=lambda i: -len(pairs[i][1]))
-    sizes = np.array([len(pairs[i][0]) for i in order])
-    ends = np.array([len(pairs[i][1]) for i in order])
-    codes = lambda texts, width: np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), width)
-    pattern, text = codes([pairs[i][0] for i in order], 64 * blocks), codes([pairs[i][1] for i in order], max(1, int(ends[0])))
-    kinds, both = np.unique(np.concatenate([pattern.ravel(), text.ravel()]), return_inverse=True)
-    pattern, text = both[: pattern.size].reshape(pattern.shape), both[pattern.size :].reshape(text.shape)
-    rows = np.arange(len(pairs))
-    places = np.zeros((len(kinds), len(pairs), blocks), np.uint64)
-    for i in range(64 * blocks):
-        n = np.flatnonzero(sizes > i)
-        places[pattern[n, i], n, i // 64] |= _ONE << np.uint64(i % 64)
-    up, down = np.full((blocks, len(pairs)), _ALL), np.zeros((blocks, len(pairs)), np.uint64)
-    score, last, ends_in = sizes.copy(), np.zeros((blocks, len(pairs)), np.uint64), set(((sizes - 1) // 64).tolist())
-    last[(sizes - 1) // 64, rows] = _ONE << ((sizes - 1) % 64).astype(np.uint64)  # the place of the pattern's last character
-    for j in range(int(ends[0])):
-        n = int(np.searchsorted(-ends, -j, "left"))  # texts that go on
-        plus, minus = np.ones(n, np.uint64), np.zeros(n, np.uint64)
-        same = places[text[:n, j], rows[:n]]
-        for w in range(blocks):
-            pv, mv, eq = up[w, :n], down[w, :n], same[:, w]
-            xv = eq | mv
-            eq = eq | minus
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            if w in ends_in:
-                score[:n] += ((ph & last[w, :n]) != 0).astype(np.int64) - ((mh & last[w, :n]) != 0)
-            before = plus, minus
-            plus, minus = ph >> np.uint64(63), mh >> np.uint64(63)
-            ph, mh = ph << _ONE | before[0], mh << _ONE | before[1]
-            up[w, :n], down[w, :n] = mh | ~(xv | ph), ph & xv
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Levenshtein distances of pairs of texts with a character at least, the shorter one first.
+
+    Each step takes every block of 64 characters of every pair one character of the longer text on. A block is one step
+    behind the one above it, whose carry it needs; what it does before its text begins is undone when it begins.
+    """
+    sizes, ends = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    blocks = (sizes + 63) // 64
+    order = np.argsort(-(ends + blocks), kind="stable")
+    sizes, ends, blocks = sizes[order], ends[order], blocks[order]
+    codes = lambda side: np.frombuffer("".join(pairs[i][side] for i in order.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
+    pattern, text = codes(0), codes(1)
+    known = np.zeros(int(max(pattern.max(), text.max())) + 1, bool)
+    known[pattern] = True
+    number = np.cumsum(known) * known  # 0: in no pattern
+    kinds, lanes = int(number.max()) + 1, int(blocks.sum())
+    if len(pairs) > 1 and kinds * lanes > PLACES:  # bounded memory
+        found = np.empty(len(pairs), np.int64)
+        for part in (order[: len(order) // 2], order[len(order) // 2 :]):
+            found[part] = distances([pairs[i] for i in part.tolist()])
+        return found
+    first = np.cumsum(blocks) - blocks
+    pair = np.repeat(np.arange(len(pairs)), blocks)
+    level, base = np.arange(lanes) - first[pair], np.arange(lanes) * kinds
+    at = np.arange(len(pattern)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    places = np.zeros(lanes * kinds, np.uint64)
+    np.bitwise_or.at(places, base[np.repeat(first, sizes) + at // 64] + number[pattern], _ONE << (at % 64).astype(np.uint64))
+    deep = int(blocks.max())
+    text = np.pad(number[text], deep)
+    start = deep + (np.cumsum(ends) - ends)[pair] - level
+    up, down, score = np.full(lanes, _ALL), np.zeros(lanes, np.uint64), sizes.copy()
+    plus, minus = np.empty(lanes, np.uint64), np.empty(lanes, np.uint64)
+    last, high, stop = first + blocks - 1, ((sizes - 1) % 64).astype(np.uint64), ends + blocks - 1
+    more = np.zeros((2, lanes), np.uint64)
+    for t, n in enumerate(np.searchsorted(-stop, -np.arange(stop[0]), "left").tolist()):  # n pairs go on
+        m = int(last[n - 1]) + 1
+        if 0 < t < deep:
+            fresh = np.flatnonzero(level == t)
+            up[fresh], down[fresh] = _ALL, 0
+            score[blocks == t + 1] = sizes[blocks == t + 1]
+        pv, mv, p, q = up[:m], down[:m], plus[:m], minus[:m]
+        p[1:], q[1:] = more[0, : m - 1], more[1, : m - 1]
+        p[first[:n]], q[first[:n]] = 1, 0
+        eq = places.take(base[:m] + text.take(start[:m] + t))
+        xv = eq | mv
+        eq |= q
+        xh = eq & pv
+        xh += pv
+        xh ^= pv
+        xh |= eq
+        mh = pv & xh
+        xh |= pv
+        ph = np.bitwise_not(xh, out=xh)
+        ph |= mv
+        ends_at = last[:n]
+        score[:n] += (ph[ends_at] >> high[:n] & _ONE).view(np.int64) - (mh[ends_at] >> high[:n] & _ONE).view(np.int64)
+        np.right_shift(ph, _TOP, out=more[0, :m])
+        np.right_shift(mh, _TOP, out=more[1, :m])
+        ph <<= _ONE
+        ph |= p
+        mh <<= _ONE
+        mh |= q
+        np.bitwise_and(ph, xv, out=mv)
+        xv |= ph
+        np.bitwise_not(xv, out=xv)
+        np.bitwise_or(mh, xv, out=pv)
     found = np.empty(len(pairs), np.int64)
     found[order] = score
     return found
 
 
 def all_similar(left: list[str], right: list[str], most: list[int]) -> np.ndarray:
-    """Of each pair, whether its distance is at most so much. Pairs of like length are compared side by side."""
-    found, open_ = np.zeros(len(left), bool), {}
+    """Of each pair, whether its distance is at most so much: by its lengths, by what both texts begin and end with, by words where they are long, and the rest side by side."""
+    found, open_ = np.zeros(len(left), bool), []
     for i, (a, b, m) in enumerate(zip(left, right, most)):
-        quick = _quick(a, b, m)
-        if quick is not None:
-            found[i] = quick
+        if abs(len(a) - len(b)) > m:
             continue
-        a, b = sorted(_middles(a, b), key=len)
-        blocks = next((n for n in BLOCKS if len(a) <= 64 * n), 0)
-        if blocks:
-            open_.setdefault(blocks, []).append((i, (a, b)))
-        else:
-            found[i] = distance(a, b, m) <= m
-    for blocks, own in open_.items():
-        own.sort(key=lambda x: len(x[1][1]))
-        for at in range(0, len(own), ABREAST):
-            part = own[at : at + ABREAST]
-            numbers = [i for i, _ in part]
-            found[numbers] = distances([p for _, p in part], blocks) <= np.array(most)[numbers]
+        c, d = sorted(_middles(a, b), key=len)
+        if len(d) <= m or len(d) > WORDWISE and _bound(a.split(" "), b.split(" "), m) <= m:
+            found[i] = True
+        elif len(c) > 64 * LONGEST:
+            found[i] = distance(c, d, m) <= m
+        elif c:
+            open_.append((i, (c, d)))
+    open_.sort(key=lambda x: len(x[1][1]))
+    at = 0
+    while at < len(open_):
+        stop, lanes = at, 0
+        while stop < len(open_) and (stop == at or lanes < LANES):
+            lanes += len(open_[stop][1][0]) // 64 + 1
+            stop += 1
+        numbers = [i for i, _ in open_[at:stop]]
+        found[numbers] = distances([pair for _, pair in open_[at:stop]]) <= np.array(most)[numbers]
+        at = stop
     return found
 
 
