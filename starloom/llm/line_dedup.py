@@ -249,10 +249,11 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Column, similarity: f
     """Rows (form, group) of the forms that are linked to others. keyed: form, size, sketch, key; near tells from size_a, sketch_a, size_b and sketch_b whether a pair may be.
 
     Each form is first compared with one form of each of its keys, drawn by a hash of both, so that a large group of near
-    copies soon hangs together; of the other pairs, only those whose ends are not yet in one group are left.
+    copies soon hangs together; of the other pairs, only those whose ends are not yet in one group are left, each at the
+    least key that its ends share.
     """
     keyed = materialise(keyed, "crowded-keys")
-    side = lambda frame, s: frame.withColumnsRenamed({c: f"{c}_{s}" for c in ("form", "size", "sketch", "group") if c in frame.columns})
+    side = lambda frame, s: frame.withColumnsRenamed({c: f"{c}_{s}" for c in ("form", "size", "sketch", "group", "keys") if c in frame.columns})
     pair = [F.least("form_a", "form_b").alias("a"), F.greatest("form_a", "form_b").alias("b")]
     drawn = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("form", "key").alias("draw"), "form", "size", "sketch")).alias("d")).select("key", "d.form", "d.size", "d.sketch")
     stars = side(keyed, "a").join(side(drawn, "b"), "key").where((F.col("form_a") != F.col("form_b")) & near).select(*pair).distinct()
@@ -260,9 +261,13 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Column, similarity: f
     links = materialise(_similar(stars, _words_of(signed, stars), similarity), "links")
     groups = connected_components(links)
     grouped = keyed.join(groups, keyed["form"] == groups["node"], "left").select("key", "form", "size", "sketch", F.coalesce("component", "form").alias("group"))
-    grouped = materialise(grouped, "grouped-keys")
-    left, right = side(grouped, "a"), side(grouped, "b")
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    grouped = materialise(grouped.join(mixed, "key", "left_semi"), "mixed-keys")
+    own = grouped.groupBy("form", "size", "sketch", "group", F.col("key").bitwiseAND(3).alias("kind")).agg(F.collect_set("key").alias("keys")).drop("kind")
+    own = own.withColumn("key", F.explode("keys"))
+    left, right = side(own, "a"), side(own, "b")
     apart = (left["key"] == right["key"]) & (F.col("form_a") < F.col("form_b")) & (F.col("group_a") != F.col("group_b")) & near
+    apart = apart & (left["key"] == F.array_min(F.array_intersect("keys_a", "keys_b")))
     rest = left.join(right, apart).select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
     rest = materialise(rest, "rest-pairs")
     if not rest.isEmpty():
