@@ -66,3 +66,23 @@ def test_short_and_spaceless_lines(spark, tmp_path):
     found = {r.doc_id: r.kept for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {0: True, 1: False, 2: True, 3: False, 4: True, 5: True, 6: False, 7: True, 8: False, 10: True, 11: True}
     assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {0, 2, 4, 5, 7, 9, 10, 11}
+
+
+def test_distances_side_by_side(monkeypatch):
+    """Pairs of one to several blocks, alike and unlike, at once and in halves, agree with distances one by one."""
+    draw = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        letters, most = draw.choice(["ab", "abcdefgh ", "abé漢\U0001f600"]), draw.choice([1, 63, 64, 65, 128, 129, 300])
+        a = "".join(draw.choices(letters, k=draw.randint(1, most)))
+        b = "".join(c for c in a if draw.random() > 0.1) + "z" if draw.random() < 0.5 else "".join(draw.choices(letters, k=draw.randint(1, most)))
+        pairs.append(tuple(sorted((a, b), key=len)))
+    exact = [edit_distance.distance(a, b) for a, b in pairs]
+    assert edit_distance.distances(pairs).tolist() == exact
+    most = [draw.randint(0, 60) for _ in pairs]
+    expected = [d <= m for d, m in zip(exact, most)]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert edit_distance.all_similar(left, right, most).tolist() == expected
+    monkeypatch.setattr(edit_distance, "PLACES", 2000)
+    monkeypatch.setattr(edit_distance, "WORDWISE", 20)
+    assert edit_distance.all_similar(left, right, most).tolist() == expected
