@@ -9,7 +9,7 @@ edit similarity alone decides. Of a connected group, the occurrence with the sma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
@@ -27,6 +27,8 @@ from starloom.llm.line_keys import Signs, agree, signs_of
 BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 8, 0.8, 3
 #: Places of the table that tells which lines' forms are asked for: 128 KB, whatever the input.
 SIEVE = 1 << 20
+#: Rounds of comparisons with drawn forms at most, and pairs of different groups for each form of a key that call for another.
+ROUNDS, CROWDED = 4, 4
 
 
 def forms(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, str]]:
@@ -245,39 +247,65 @@ def _wide_keys(signed: DataFrame) -> DataFrame:
     return keyed.withColumn("kind", kind).join(known, ["form", "kind"]).select("form", "size", "sketch", "key")
 
 
-def _near_forms(signed: DataFrame, keyed: DataFrame, near: Column, similarity: float) -> DataFrame:
-    """Rows (form, group) of the forms that are linked to others. keyed: form, size, sketch, key; near tells from size_a, sketch_a, size_b and sketch_b whether a pair may be.
+def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Column], Column], similarity: float) -> DataFrame:
+    """Rows (form, group) of the forms that are linked to others. keyed: form, size, sketch, key; near tells from two sketches of one kind whether a pair may be.
 
     Each form is first compared with one form of each of its keys, drawn by a hash of both, so that a large group of near
-    copies soon hangs together; of the other pairs, only those whose ends are not yet in one group are left, each at the
-    least key that its ends share.
+    copies soon hangs together. While keys hold many pairs of forms that aren't in one group yet, each form is compared with
+    another form, drawn anew, of each of its keys: most of what belongs together then does. Of the other pairs, only those
+    whose ends are not yet in one group are left, each once: at the least key that its ends share in the first kind of keys
+    (their last two bits) whose sketches let it through.
     """
     keyed = materialise(keyed, "crowded-keys")
-    side = lambda frame, s: frame.withColumnsRenamed({c: f"{c}_{s}" for c in ("form", "size", "sketch", "group", "keys") if c in frame.columns})
+    side = lambda frame, s: frame.withColumnsRenamed({c: f"{c}_{s}" for c in ("form", "size", "sketch", "group", "keys", "kind0", "kind1", "kind2") if c in frame.columns})
+    may = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & near(F.col("sketch_a"), F.col("sketch_b"))
     pair = [F.least("form_a", "form_b").alias("a"), F.greatest("form_a", "form_b").alias("b")]
-    drawn = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("form", "key").alias("draw"), "form", "size", "sketch")).alias("d")).select("key", "d.form", "d.size", "d.sketch")
-    stars = side(keyed, "a").join(side(drawn, "b"), "key").where((F.col("form_a") != F.col("form_b")) & near).select(*pair).distinct()
-    stars = materialise(stars, "star-pairs")
-    links = materialise(_similar(stars, _words_of(signed, stars), similarity), "links")
-    groups = connected_components(links)
-    grouped = keyed.join(groups, keyed["form"] == groups["node"], "left").select("key", "form", "size", "sketch", F.coalesce("component", "form").alias("group"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    grouped = materialise(grouped.join(mixed, "key", "left_semi"), "mixed-keys")
-    own = grouped.groupBy("form", "size", "sketch", "group", F.col("key").bitwiseAND(3).alias("kind")).agg(F.collect_set("key").alias("keys")).drop("kind")
+    left, done, rounds = keyed.withColumn("group", F.col("form")), [keyed], 0
+    stars = links = None
+    while True:
+        columns = ["form", "size", "sketch", "group"]
+        draw = F.xxhash64("form", "key", *[F.lit(rounds)] * (rounds > 0))
+        drawn = left.groupBy("key").agg(F.min(F.struct(draw.alias("draw"), *columns)).alias("d")).select("key", *[f"d.{c}" for c in columns])
+        new = side(left, "a").join(side(drawn, "b"), "key").where((F.col("group_a") != F.col("group_b")) & may).select(*pair).distinct()
+        new = materialise(new if stars is None else new.join(stars, ["a", "b"], "left_anti"), "star-pairs")
+        linked = materialise(_similar(new, _words_of(signed, new), similarity), "links")
+        done += [new, linked]
+        stars, links = (new, linked) if stars is None else (stars.unionByName(new), links.unionByName(linked))
+        groups = connected_components(links)
+        grouped = left.drop("group").join(groups, left["form"] == groups["node"], "left").select("key", "form", "size", "sketch", F.coalesce("component", "form").alias("group"))
+        mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        left = materialise(grouped.join(mixed, "key", "left_semi"), "mixed-keys")
+        done.append(left)
+        rounds += 1
+        if rounds == ROUNDS or not _crowded(left):
+            break
+    kinds = left.repartition("form").groupBy("form", "size", "group", "sketch", F.col("key").bitwiseAND(3).alias("kind")).agg(F.collect_set("key").alias("keys"))
+    of_kind = [F.max(F.when(F.col("kind") == j, F.struct("sketch", "keys"))).alias(f"kind{j}") for j in range(3)]
+    kinds = kinds.groupBy("form", "size", "group").agg(F.collect_list(F.struct("kind", "sketch", "keys")).alias("kinds"), *of_kind).withColumn("k", F.explode("kinds"))
+    own = kinds.select("form", "size", "group", "k.sketch", "k.keys", *[F.when(F.col("k.kind") > j, F.col(f"kind{j}")).alias(f"kind{j}") for j in range(3)])
     own = own.withColumn("key", F.explode("keys"))
-    left, right = side(own, "a"), side(own, "b")
-    apart = (left["key"] == right["key"]) & (F.col("form_a") < F.col("form_b")) & (F.col("group_a") != F.col("group_b")) & near
-    apart = apart & (left["key"] == F.array_min(F.array_intersect("keys_a", "keys_b")))
-    rest = left.join(right, apart).select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
+    one, other = side(own, "a"), side(own, "b")
+    met = [near(F.col(f"kind{j}_a.sketch"), F.col(f"kind{j}_b.sketch")) & F.arrays_overlap(f"kind{j}_a.keys", f"kind{j}_b.keys") for j in range(3)]  # in an earlier kind
+    apart = (one["key"] == other["key"]) & (F.col("form_a") < F.col("form_b")) & (F.col("group_a") != F.col("group_b")) & may
+    apart = apart & (one["key"] == F.array_min(F.array_intersect("keys_a", "keys_b"))) & ~F.coalesce(met[0], F.lit(False)) & ~F.coalesce(met[1], F.lit(False)) & ~F.coalesce(met[2], F.lit(False))
+    rest = one.join(other, apart).select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
     rest = materialise(rest, "rest-pairs")
+    done.append(rest)
     if not rest.isEmpty():
         groups = connected_components(links.unionByName(_similar(rest, _words_of(signed, rest), similarity)))
     found = materialise(groups.select(F.col("node").alias("form"), F.col("component").alias("group")), "near-forms")
-    for done in (keyed, stars, links, grouped, rest):
-        discard(done)
+    for table_ in done:
+        discard(table_)
     return found
 
 
+def _crowded(left: DataFrame) -> bool:
+    """Whether the keys hold many more pairs of forms of different groups than forms."""
+    sizes = left.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs, forms = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+    return pairs is not None and pairs > CROWDED * forms
+
+
 def _words_of(signed: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("form")).distinct()
     return materialise(_asked_forms(signed, asked), "forms")
@@ -287,12 +315,10 @@ def _judged(signed: DataFrame, id_col: str, bits: int, blocks: int, similarity:
     lines = signed.select(F.col(id_col).alias("id"), F.col("__row").alias("row"), F.explode(F.arrays_zip("__lines.line", "__lines.form")).alias("l"))
     lines = lines.select("id", "row", F.col("l.line").alias("line"), F.col("l.form").alias("form"))
     place = F.struct("id", "row", "line")
-    may = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
     if wide:
-        keyed, may = _wide_keys(signed), may & agree(F.col("sketch_a"), F.col("sketch_b"))
+        near = _near_forms(signed, _wide_keys(signed), agree, similarity)
     else:
-        keyed, may = _plane_keys(signed, bits, blocks), may & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= bits)
-    near = _near_forms(signed, keyed, may, similarity)
+        near = _near_forms(signed, _plane_keys(signed, bits, blocks), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits, similarity)
     firsts = lines.groupBy("form").agg(F.min(place).alias("place"))
     grouped = materialise(firsts.join(near, "form", "left").select("form", "place", F.coalesce("group", "form").alias("group")), "distinct-lines")
     first = grouped.groupBy("group").agg(F.min("place").alias("keeper"))
