@@ -27,7 +27,7 @@ from starloom.llm.line_keys import Signs, agree, signs_of
 BITS, BLOCKS, SIMILARITY, MIN_WORDS = 3, 8, 0.8, 3
 #: Places of the table that tells which lines' forms are asked for: 128 KB, whatever the input.
 SIEVE = 1 << 20
-#: Rounds of comparisons with drawn forms at most, and pairs of different groups for each form of a key that call for another.
+#: Rounds of comparisons with drawn forms at most, and pairs left to compare for each form of a key that call for another.
 ROUNDS, CROWDED = 4, 4
 
 
@@ -92,7 +92,7 @@ def _simhash_signs(lines: list[str]) -> Signs:
     return Signs(np.arange(len(lines)), simhashes(lines), np.zeros(len(lines), np.int64), np.empty(0, np.int64))
 
 
-_LISTS = {"line": pa.int32(), "form": pa.int64(), "fresh": pa.int64(), "size": pa.int32(), "words": pa.string(), "owner": pa.int64(), "sketch": pa.int64()}
+_LISTS = {"line": pa.int32(), "form": pa.int64(), "fresh": pa.int64(), "size": pa.int32(), "words": pa.string(), "owner": pa.int64(), "sketch": pa.int64(), "count": pa.int32()}
 _STRUCT = pa.struct([*((name, pa.list_(kind)) for name, kind in _LISTS.items()), ("keys", pa.binary())])
 
 
@@ -117,13 +117,11 @@ def _signed_part(texts: list[str | None], min_words: int, sign, seen: set[int])
     lines, news, entries = np.concatenate([[0], ends]).astype(np.int32), edges(text_of), edges(text_of[signs.line])
     values = {
         "line": (lines, np.array([i for found in own for i, _ in found], np.int32)), "form": (lines, numbers), "fresh": (news, numbers[fresh]),
-        "size": (news, np.array([len(w) for w in words], np.int32)), "words": (news, words), "owner": (entries, numbers[fresh[signs.line[order]]]), "sketch": (entries, signs.sketch[order]),
+        "size": (news, np.array([len(w) for w in words], np.int32)), "words": (news, words), "owner": (entries, numbers[fresh[signs.line[order]]]), "sketch": (entries, signs.sketch[order]), "count": (entries, signs.sizes[order].astype(np.int32)),
     }
     lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x, _LISTS[name])) for name, (at, x) in values.items()]
-    # a key and whose it is, 8 bytes each, side by side
-    of_keys = signs.line[np.repeat(order, signs.sizes[order])]
-    raw = np.stack([numbers[fresh[of_keys]], keys], axis=1).astype("<i8").tobytes()
-    at = 16 * edges(text_of[of_keys])
+    raw = keys.astype("<i8").tobytes()
+    at = 8 * edges(text_of[signs.line[np.repeat(order, signs.sizes[order])]])
     blobs = pa.array([raw[a:b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary())
     return pa.StructArray.from_arrays([*lists, blobs], fields=list(_STRUCT))
 
@@ -143,7 +141,7 @@ def signed_lines(docs: DataFrame, text_col: str, min_words: int = MIN_WORDS, wid
             yield pa.concat_arrays(parts) if parts else pa.array([], _STRUCT)
 
     of.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    schema = "line array<int>, form array<long>, fresh array<long>, size array<int>, words array<string>, owner array<long>, sketch array<long>, keys binary"
+    schema = "line array<int>, form array<long>, fresh array<long>, size array<int>, words array<string>, owner array<long>, sketch array<long>, count array<int>, keys binary"
     signed = docs.withColumns({"__lines": F.arrow_udf(of, schema)(F.col(text_col)), "__row": F.monotonically_increasing_id()})
     return materialise(signed if keep_text else signed.drop(text_col), "signed-lines")
 
@@ -226,32 +224,101 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return crowded.dropDuplicates(["key", "form"])
 
 
-def _wide_keys(signed: DataFrame) -> DataFrame:
-    """Rows (form, size, sketch, key) of the forms' keys that another form has too. Keys are shuffled alone; what else is known of a form joins the few that are left."""
+def _dealt(frame: DataFrame, rows, parts: int) -> DataFrame:
+    """Rows (part, kind, found): rows() makes pairs (kind, matrix of longs) of batches, whose rows are dealt by a hash, their first column, to that many parts and go out as bytes, 8 a number."""
 
-    def pairs(batches):
+    def deal(batches):
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                found = np.frombuffer(b"".join(batch.column(0).slice(at, 2048).to_pylist()), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["form", "key"])
+                for kind, found in rows(batch.slice(at, 2048)):
+                    part = (found[:, 0].view(np.uint64) >> np.uint64(2)) % np.uint64(parts)
+                    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+                    found, part = found[order], part[order]
+                    starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(part) else []
+                    blobs = [found[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(found)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "found"])
+
+    return frame.mapInArrow(deal, "part long, kind int, found binary")
+
+
+def _unpacked(blobs: list[bytes], columns: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, columns)
+
+
+def _shared_pairs(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (key, form, told): those not told whose key another form has too, and what is to be kept of all: one row a key, told if the key is shared."""
+    held = held[np.lexsort((held[:, 2], held[:, 1], held[:, 0]))]
+    same = np.diff(held[:, 0]) == 0
+    repeated = np.append(False, same & (np.diff(held[:, 1]) == 0))  # a told row comes last: what is new of its form is told once more
+    held = held[~repeated | (held[:, 2] == 1)]
+    starts = np.flatnonzero(np.append(True, np.diff(held[:, 0]) != 0)) if len(held) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(held)))
+    if not len(held):
+        return held, held
+    told = np.maximum.reduceat(held[:, 2], starts) == 1
+    shared = told | (np.minimum.reduceat(held[:, 1], starts) < np.maximum.reduceat(held[:, 1], starts))
+    kept = held[starts].copy()
+    kept[:, 2] = shared
+    return held[np.repeat(shared, sizes) & (held[:, 2] == 0)], kept
+
+
+def _wide_keys(signed: DataFrame) -> DataFrame:
+    """Rows (form, size, sketch, key) of the forms' keys that another form has too. Keys are dealt out in blocks and compared with their like in arrays; what is left is dealt by form and meets the forms' sketches and sizes, dealt in the same way."""
+    parts = 8 * int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def keys_of(batch):
+        owner, count = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
+        keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
+        yield 0, np.stack([keys, np.repeat(owner, count)], axis=1)
+
+    def shared(batches):
+        kept, held, size = np.empty((0, 3), np.int64), [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held += batch.column(0).to_pylist()
+                size += batch.nbytes
+            if held and (batch is None or size > max(64 << 20, kept.nbytes)):  # however many forms a key has, one row of it is kept
+                found = _unpacked(held, 2)
+                told, kept = _shared_pairs(np.concatenate([kept, np.column_stack([found, np.zeros(len(found), np.int64)])]))
+                held, size = [], 0
+                for at in range(0, len(told), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(told[at : at + (1 << 16), 1]), pa.array(told[at : at + (1 << 16), 0])], names=["form", "key"])
+
+    def forms_of(batch):
+        yield 1, np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
 
-    keyed = signed.where(F.length("__lines.keys") > 0).select("__lines.keys").mapInArrow(pairs, "form long, key long")
-    keyed = materialise(_shared(keyed), "shared-keys")
-    kind = F.col("key").bitwiseAND(3)
-    sketches = signed.select(F.explode(F.arrays_zip("__lines.owner", "__lines.sketch")).alias("e")).select(F.col("e.owner").alias("form"), F.col("e.sketch").alias("sketch"))
-    sketches = sketches.withColumn("kind", F.col("sketch").bitwiseAND(3))
-    sizes = signed.select(F.explode(F.arrays_zip("__lines.fresh", "__lines.size")).alias("f")).select(F.col("f.fresh").alias("form"), F.col("f.size").alias("size"))
-    crowded = keyed.select("form", kind.alias("kind")).distinct()
-    known = sketches.join(crowded, ["form", "kind"], "left_semi").dropDuplicates(["form", "kind"])
-    known = known.join(sizes.join(crowded.select("form"), "form", "left_semi").dropDuplicates(["form"]), "form")
-    return keyed.withColumn("kind", kind).join(known, ["form", "kind"]).select("form", "size", "sketch", "key")
+    def signs_in(batch):
+        fresh, size, owner, sketch = (batch.column(i).flatten().to_numpy() for i in range(4))
+        order = np.argsort(fresh, kind="stable")
+        yield 2, np.column_stack([owner, sketch, size[order[np.searchsorted(fresh, owner, sorter=order)]] if len(owner) else owner])
+
+    def met(batches):
+        blobs = {1: [], 2: []}
+        for batch in batches:
+            for kind, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                blobs[kind].append(found)
+        keys, signs = _unpacked(blobs[1], 2), _unpacked(blobs[2], 3)
+        if len(keys):
+            names, at = np.unique(signs[:, 0], return_inverse=True)
+            sketches, sizes = np.zeros((len(names), 4), np.int64), np.zeros(len(names), np.int32)
+            sketches[at, signs[:, 1] & 3], sizes[at] = signs[:, 1], signs[:, 2]
+            for own in np.array_split(keys, len(keys) // (1 << 16) + 1):
+                of = np.searchsorted(names, own[:, 0])
+                columns = own[:, 0], sizes[of], sketches[of, own[:, 1] & 3], own[:, 1]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["form", "size", "sketch", "key"])
+
+    some = signed.where(F.length("__lines.keys") > 0)
+    keyed = _dealt(some.select("__lines.owner", "__lines.count", "__lines.keys"), keys_of, parts).repartition("part").select("found").mapInArrow(shared, "form long, key long")
+    signs = _dealt(some.select("__lines.fresh", "__lines.size", "__lines.owner", "__lines.sketch"), signs_in, parts)
+    both = _dealt(keyed, forms_of, parts).unionByName(signs)
+    return both.repartition("part").select("kind", "found").mapInArrow(met, "form long, size int, sketch long, key long")
 
 
 def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Column], Column], similarity: float) -> DataFrame:
     """Rows (form, group) of the forms that are linked to others. keyed: form, size, sketch, key; near tells from two sketches of one kind whether a pair may be.
 
     Each form is first compared with one form of each of its keys, drawn by a hash of both, so that a large group of near
-    copies soon hangs together. While keys hold many pairs of forms that aren't in one group yet, each form is compared with
+    copies soon hangs together. While keys hold many pairs whose sketches agree and that aren't in one group yet, each form is compared with
     another form, drawn anew, of each of its keys: most of what belongs together then does. Of the other pairs, only those
     whose ends are not yet in one group are left, each once: at the least key that its ends share in the first kind of keys
     (their last two bits) whose sketches let it through.
@@ -270,14 +337,15 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Col
         new = materialise(new if stars is None else new.join(stars, ["a", "b"], "left_anti"), "star-pairs")
         linked = materialise(_similar(new, _words_of(signed, new), similarity), "links")
         done += [new, linked]
-        stars, links = (new, linked) if stars is None else (stars.unionByName(new), links.unionByName(linked))
-        groups = connected_components(links)
+        stars = new if stars is None else stars.unionByName(new)
+        groups = connected_components(linked if links is None else links.unionByName(linked))
+        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         grouped = left.drop("group").join(groups, left["form"] == groups["node"], "left").select("key", "form", "size", "sketch", F.coalesce("component", "form").alias("group"))
         mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
         left = materialise(grouped.join(mixed, "key", "left_semi"), "mixed-keys")
         done.append(left)
         rounds += 1
-        if rounds == ROUNDS or not _crowded(left):
+        if rounds == ROUNDS or not _crowded(left, may):
             break
     kinds = left.repartition("form").groupBy("form", "size", "group", "sketch", F.col("key").bitwiseAND(3).alias("kind")).agg(F.collect_set("key").alias("keys"))
     of_kind = [F.max(F.when(F.col("kind") == j, F.struct("sketch", "keys"))).alias(f"kind{j}") for j in range(3)]
@@ -299,10 +367,14 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Col
     return found
 
 
-def _crowded(left: DataFrame) -> bool:
-    """Whether the keys hold many more pairs of forms of different groups than forms."""
-    sizes = left.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    pairs, forms = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+def _crowded(left: DataFrame, may: Column) -> bool:
+    """Whether the keys hold many more pairs left to compare than forms: pairs of forms of different groups, of those keys where two groups' drawn forms may be one."""
+    member = F.struct(F.xxhash64("key", "form").alias("draw"), "size", "sketch")
+    groups = left.groupBy("key", "group").agg(F.count("*").alias("n"), F.min(member).alias("m"))
+    own = F.struct(F.xxhash64("key", "group").alias("draw"), "m.size", "m.sketch")
+    keys = groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min(own).alias("a"), F.max(own).alias("b"))
+    keys = keys.select("n", "own", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("size", "sketch")])
+    pairs, forms = keys.agg(F.sum(F.when(may, (F.col("n") * F.col("n") - F.col("own")) / 2).otherwise(0)), F.sum("n")).first()
     return pairs is not None and pairs > CROWDED * forms
 
 
@@ -319,10 +391,12 @@ def _judged(signed: DataFrame, id_col: str, bits: int, blocks: int, similarity:
         near = _near_forms(signed, _wide_keys(signed), agree, similarity)
     else:
         near = _near_forms(signed, _plane_keys(signed, bits, blocks), lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits, similarity)
+    near = near.withColumnRenamed("form", "near")
     firsts = lines.groupBy("form").agg(F.min(place).alias("place"))
-    grouped = materialise(firsts.join(near, "form", "left").select("form", "place", F.coalesce("group", "form").alias("group")), "distinct-lines")
-    first = grouped.groupBy("group").agg(F.min("place").alias("keeper"))
-    named = grouped.join(first, "group").select("form", "group", "keeper")
+    grouped = materialise(firsts.join(near, firsts["form"] == near["near"]).select("near", "group", "place"), "near-places")
+    keepers = grouped.select("near", "group").join(grouped.groupBy("group").agg(F.min("place").alias("keeper")), "group")
+    named = firsts.join(keepers, firsts["form"] == keepers["near"], "left")
+    named = named.select("form", F.coalesce("group", "form").alias("group"), F.when(F.col("near").isNull(), F.col("place")).otherwise(F.col("keeper")).alias("keeper"))
     return lines.join(named, "form").select("id", "row", "line", "group", place.eqNullSafe(F.col("keeper")).alias("kept"))
 
 
