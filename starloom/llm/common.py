@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +50,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver look for shuffles that nothing refers to any more: Spark deletes their files only once it has found out, and a driver with memory to spare takes its time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns that an operator is about to add: its own results replace columns of the same name."""
     lower = {n.lower() for n in names}

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import discard, materialise, table
+from starloom.llm.common import discard, materialise, release, table
 from starloom.llm.components import connected_components
 from starloom.llm.decontaminate import normalise
 from starloom.llm.edit_distance import all_similar
@@ -224,21 +224,28 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return crowded.dropDuplicates(["key", "form"])
 
 
-def _dealt(frame: DataFrame, rows, parts: int) -> DataFrame:
-    """Rows (part, kind, found): rows() makes pairs (kind, matrix of longs) of batches, whose rows are dealt by a hash, their first column, to that many parts and go out as bytes, 8 a number."""
+def _packed(kind: int, found: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, kind, found) of a matrix of longs: its rows, dealt by their first column, a hash, to that many parts, as bytes."""
+    part = (found[:, 0].view(np.uint64) >> np.uint64(2)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+    found, part = found[order], part[order]
+    starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(part) else np.empty(0, np.int64)
+    blobs = [found[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(found)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "found"])
+
+
+_PACKED = "part long, kind int, found binary"
+
+
+def _dealt(frame: DataFrame, kind: int, rows, parts: int) -> DataFrame:
+    """What rows() makes of batches, a matrix each, packed."""
 
     def deal(batches):
         for batch in batches:
             for at in range(0, len(batch), 2048):
-                for kind, found in rows(batch.slice(at, 2048)):
-                    part = (found[:, 0].view(np.uint64) >> np.uint64(2)) % np.uint64(parts)
-                    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
-                    found, part = found[order], part[order]
-                    starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1))) if len(part) else []
-                    blobs = [found[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(found)])]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "found"])
+                yield _packed(kind, rows(batch.slice(at, 2048)), parts)
 
-    return frame.mapInArrow(deal, "part long, kind int, found binary")
+    return frame.mapInArrow(deal, _PACKED)
 
 
 def _unpacked(blobs: list[bytes], columns: int) -> np.ndarray:
@@ -269,28 +276,29 @@ def _wide_keys(signed: DataFrame) -> DataFrame:
     def keys_of(batch):
         owner, count = batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy()
         keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
-        yield 0, np.stack([keys, np.repeat(owner, count)], axis=1)
+        return np.stack([keys, np.repeat(owner, count)], axis=1)
 
     def shared(batches):
-        kept, held, size = np.empty((0, 3), np.int64), [], 0
+        kept, held, size = {}, {}, 0
         for batch in chain(batches, [None]):
             if batch is not None:
-                held += batch.column(0).to_pylist()
+                for part, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    held.setdefault(part, []).append(found)
                 size += batch.nbytes
-            if held and (batch is None or size > max(64 << 20, kept.nbytes)):  # however many forms a key has, one row of it is kept
-                found = _unpacked(held, 2)
-                told, kept = _shared_pairs(np.concatenate([kept, np.column_stack([found, np.zeros(len(found), np.int64)])]))
-                held, size = [], 0
-                for at in range(0, len(told), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(told[at : at + (1 << 16), 1]), pa.array(told[at : at + (1 << 16), 0])], names=["form", "key"])
-
-    def forms_of(batch):
-        yield 1, np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            if batch is None or size > max(64 << 20, sum(x.nbytes for x in kept.values())):  # however many forms a key has, one row of it is kept
+                for part, blobs in held.items():
+                    found = _unpacked(blobs, 2)
+                    found = np.column_stack([found, np.zeros(len(found), np.int64)])
+                    told, left = _shared_pairs(np.concatenate([kept[part], found]) if part in kept else found)
+                    if batch is not None:
+                        kept[part] = left
+                    yield _packed(1, told[:, [1, 0]], parts)
+                held, size = {}, 0
 
     def signs_in(batch):
         fresh, size, owner, sketch = (batch.column(i).flatten().to_numpy() for i in range(4))
         order = np.argsort(fresh, kind="stable")
-        yield 2, np.column_stack([owner, sketch, size[order[np.searchsorted(fresh, owner, sorter=order)]] if len(owner) else owner])
+        return np.column_stack([owner, sketch, size[order[np.searchsorted(fresh, owner, sorter=order)]] if len(owner) else owner])
 
     def met(batches):
         blobs = {1: [], 2: []}
@@ -308,9 +316,8 @@ def _wide_keys(signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["form", "size", "sketch", "key"])
 
     some = signed.where(F.length("__lines.keys") > 0)
-    keyed = _dealt(some.select("__lines.owner", "__lines.count", "__lines.keys"), keys_of, parts).repartition("part").select("found").mapInArrow(shared, "form long, key long")
-    signs = _dealt(some.select("__lines.fresh", "__lines.size", "__lines.owner", "__lines.sketch"), signs_in, parts)
-    both = _dealt(keyed, forms_of, parts).unionByName(signs)
+    keys = _dealt(some.select("__lines.owner", "__lines.count", "__lines.keys"), 0, keys_of, parts).repartition("part").select("part", "found").mapInArrow(shared, _PACKED)
+    both = keys.unionByName(_dealt(some.select("__lines.fresh", "__lines.size", "__lines.owner", "__lines.sketch"), 2, signs_in, parts))
     return both.repartition("part").select("kind", "found").mapInArrow(met, "form long, size int, sketch long, key long")
 
 
@@ -324,6 +331,7 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Col
     (their last two bits) whose sketches let it through.
     """
     keyed = materialise(keyed, "crowded-keys")
+    release(signed.sparkSession)
     side = lambda frame, s: frame.withColumnsRenamed({c: f"{c}_{s}" for c in ("form", "size", "sketch", "group", "keys", "kind0", "kind1", "kind2") if c in frame.columns})
     may = (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & near(F.col("sketch_a"), F.col("sketch_b"))
     pair = [F.least("form_a", "form_b").alias("a"), F.greatest("form_a", "form_b").alias("b")]
@@ -344,6 +352,7 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Col
         mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
         left = materialise(grouped.join(mixed, "key", "left_semi"), "mixed-keys")
         done.append(left)
+        release(signed.sparkSession)
         rounds += 1
         if rounds == ROUNDS or not _crowded(left, may):
             break
@@ -360,10 +369,13 @@ def _near_forms(signed: DataFrame, keyed: DataFrame, near: Callable[[Column, Col
     rest = materialise(rest, "rest-pairs")
     done.append(rest)
     if not rest.isEmpty():
-        groups = connected_components(links.unionByName(_similar(rest, _words_of(signed, rest), similarity)))
+        linked = materialise(_similar(rest, _words_of(signed, rest), similarity), "links")  # one task, one Python worker
+        done.append(linked)
+        groups = connected_components(links.unionByName(linked))
     found = materialise(groups.select(F.col("node").alias("form"), F.col("component").alias("group")), "near-forms")
     for table_ in done:
         discard(table_)
+    release(signed.sparkSession)
     return found
 
 
